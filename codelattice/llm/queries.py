@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.llm import op4_jaccard, op7_decontaminate, op8_langid
+from codelattice.llm import op3_shard, op4_jaccard, op5_mix, op7_decontaminate, op8_langid, op10_tokens
 from codelattice.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_shard.assignments(table(spark, sf_dir, "documents"))
+
+
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_mix.sampling(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,8 +35,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op7_decontamination, op8_language_id)}
+    return {f.__name__: f for f in (op3_reshard, op4_ngram_jaccard_join, op5_mixture, op7_decontamination, op8_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixture": op5_mix.sql()}
