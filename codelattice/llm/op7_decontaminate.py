@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.llm.common import written
-from codelattice.llm.textvec import buffer_of, column, mix, runs, slices, span_hashes, window_hashes, word_mask
+from codelattice.llm.textvec import buffer_of, column, lowered, mix, runs, slices, span_hashes, window_hashes, word_mask
 
 WINDOW, SHORTEST = 8, 4
 #: Share of an item's windows that a document must have.
@@ -38,8 +38,6 @@ UNITS = (
     "hora horas dia dias metro metros kilo kilos litro litros"
 ).split()
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x1B873593AAAAAAAB, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B))
 _KINDS = "", "number", "unit", "name"
 
@@ -52,20 +50,6 @@ def _one(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_one(UNITS))
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII, Latin-1 and basic Cyrillic letters, byte for byte, so that offsets stay."""
-    out = _LOWER[data]
-    at = np.flatnonzero(data[:-1] == 0xC3) + 1
-    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
-    out[at] += 0x20
-    at = np.flatnonzero(data[:-1] == 0xD0) + 1
-    out[at[(data[at] >= 0x90) & (data[at] <= 0x9F)]] += 0x20
-    up = at[(data[at] >= 0xA0) & (data[at] <= 0xAF)]
-    out[up] -= 0x20
-    out[up - 1] = 0xD1
-    return out
-
-
 class Template:
     """The template words of a slice of texts: per word its hash in both forms, its kind (0 literal, 1 number, 2 unit, 3 name) and byte range."""
 

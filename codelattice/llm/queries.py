@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.llm import op3_shard, op4_jaccard, op5_mix, op7_decontaminate, op8_langid, op10_tokens
+from codelattice.llm import op3_shard, op4_jaccard, op5_mix, op7_decontaminate, op8_langid, op9_repeats, op10_tokens
 from codelattice.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_mix.sampling(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_reshard, op4_ngram_jaccard_join, op5_mixture, op7_decontamination, op8_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op3_reshard, op4_ngram_jaccard_join, op5_mixture, op7_decontamination, op8_language_id, op9_repeated_passages, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

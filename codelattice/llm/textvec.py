@@ -1,6 +1,6 @@
 """Whole-batch text primitives in numpy: tokenising, hashing and shingling without a Python loop per word.
 
-A *word* is a maximal run of letters and digits of the lower-cased UTF-8 text.  Every other ASCII
+A *word* is a maximal run of letters and digits of the lower-cased UTF-8 text (see ``lowered``).  Every other ASCII
 character and the punctuation of the blocks U+0080-00BF (but for the letters among them), U+2000-206F and
 U+3000-303F separates words.  Word hashes are 64-bit polynomial hashes taken from one prefix sum over the
 buffer, so their cost is a few passes over the bytes.
@@ -22,6 +22,8 @@ _WORD = np.zeros(256, bool)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _WORD[_c] = True
 _WORD[0x80:] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,20 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII, Latin-1 and basic Cyrillic letters, byte for byte, so that offsets stay."""
+    out = _LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] += 0x20
+    at = np.flatnonzero(data[:-1] == 0xD0) + 1
+    out[at[(data[at] >= 0x90) & (data[at] <= 0x9F)]] += 0x20
+    up = at[(data[at] >= 0xA0) & (data[at] <= 0xAF)]
+    out[up] -= 0x20
+    out[up - 1] = 0xD1
+    return out
+
+
 def word_mask(data: np.ndarray) -> np.ndarray:
     """Which bytes belong to words."""
     is_word = _WORD[data]
@@ -109,7 +125,8 @@ class Words:
     __slots__ = ("bounds", "data", "end", "hash", "offsets", "start")
 
     def __init__(self, texts: pa.Array) -> None:
-        self.data, self.offsets = buffer_of(pc.utf8_lower(texts.cast(pa.large_string())))
+        self.data, self.offsets = buffer_of(texts)
+        self.data = lowered(self.data)
         self.start, self.end = runs(word_mask(self.data))
         self.hash = span_hashes(self.data, self.start, self.end)
         self.bounds = np.searchsorted(self.start, self.offsets)
