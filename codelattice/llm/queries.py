@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.llm import op3_shard, op4_jaccard, op5_mix, op7_decontaminate, op8_langid, op9_repeats, op10_tokens
+from codelattice.llm import op1_urls, op3_shard, op4_jaccard, op5_mix, op7_decontaminate, op8_langid, op9_repeats, op10_tokens
 from codelattice.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_urls.filtered(table(spark, sf_dir, "pages"), op1_urls.default_rules(spark))
+
+
 def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_shard.assignments(table(spark, sf_dir, "documents"))
 
@@ -39,8 +43,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_reshard, op4_ngram_jaccard_join, op5_mixture, op7_decontamination, op8_language_id, op9_repeated_passages, op10_token_counts)}
+    return {f.__name__: f for f in (op1_url_filters, op3_reshard, op4_ngram_jaccard_join, op5_mixture, op7_decontamination, op8_language_id, op9_repeated_passages, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixture": op5_mix.sql()}
+    return {"op1_url_filters": op1_urls.sql(), "op5_mixture": op5_mix.sql()}
