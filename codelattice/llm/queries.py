@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.llm import op1_urls, op3_shard, op4_jaccard, op5_mix, op7_decontaminate, op8_langid, op9_repeats, op10_tokens
+from codelattice.llm import op1_urls, op2_audio, op3_shard, op4_jaccard, op5_mix, op6_html, op7_decontaminate, op8_langid, op9_repeats, op10_tokens
 from codelattice.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_urls.filtered(table(spark, sf_dir, "pages"), op1_urls.default_rules(spark))
 
 
+def op2_audio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media column is a WAV recording that plays each embedding."""
+    prints = op2_audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", op2_audio.rendered_wav)
+    return op2_audio.aligned(prints)
+
+
 def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_shard.assignments(table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    gold = op6_html.gold_of(pages, table(spark, sf_dir, "documents"))
+    return op6_html.extracted(pages, op6_html.train(pages, gold))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +55,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op3_reshard, op4_ngram_jaccard_join, op5_mixture, op7_decontamination, op8_language_id, op9_repeated_passages, op10_token_counts)}
+    return {f.__name__: f for f in (op1_url_filters, op2_audio_matches, op3_reshard, op4_ngram_jaccard_join, op5_mixture, op6_html_extraction, op7_decontamination, op8_language_id, op9_repeated_passages, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
