@@ -23,6 +23,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_to
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores appended until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder, which outlives executors."""
     checkpoint_dir(df.sparkSession)

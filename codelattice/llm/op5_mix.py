@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import cut
+from codelattice.llm.common import cut, unused
 
 TOPICS = {"legal": "(?i)licen[cs]ed? |copyright|rights reserved", "tabular": " \\| ", "technical": "https?://|@[a-z]|[0-9]+[.][0-9]+", "shouted": "!!|[$]{3}|%{3}|&{3}"}
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
@@ -129,10 +129,11 @@ def sampling(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **how) -> DataFrame:
     """The rows of ``docs`` that ``sampling`` takes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    names = {"source": "__mix_source", "lang": "__mix_lang", "topic": "__mix_topic"}
+    *of_dims, chance = unused(docs, "__mix_source", "__mix_lang", "__mix_topic", "__mix_p")
+    names = dict(zip(_DIMS, of_dims, strict=True))
     wide = docs.withColumns({names["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit(_NONE)), names["lang"]: F.coalesce(F.col(lang_col).cast("string"), F.lit(_NONE)), names["topic"]: topic_of(text)})
-    chances = weights(docs, targets, id_col, text_col, source_col, lang_col, **how).withColumnsRenamed(names | {"probability": "__mix_p"})
-    return wide.join(chances, list(names.values())).where(uniform(F.col(id_col)) < F.round("__mix_p", 6)).select(*(F.col(c) for c in docs.columns))
+    chances = weights(docs, targets, id_col, text_col, source_col, lang_col, **how).withColumnsRenamed(names | {"probability": chance})
+    return wide.join(chances, list(names.values())).where(uniform(F.col(id_col)) < F.round(chance, 6)).select(*(F.col(c) for c in docs.columns))
 
 
 def sql(rounds: int = ROUNDS) -> str:

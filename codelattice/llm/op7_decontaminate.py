@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import written
+from codelattice.llm.common import unused, written
 from codelattice.llm.textvec import buffer_of, column, lowered, mix, runs, slices, span_hashes, window_hashes, word_mask
 
 WINDOW, SHORTEST = 8, 4
@@ -172,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold an item; rows with null ids or texts stay."""
-    name = "__drop_id"
+    (name,) = unused(docs, "__drop_id")
     drop = contaminated(docs, benchmark, coverage, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(drop, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
