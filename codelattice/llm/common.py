@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Spark has unless somebody sets it, and what batches of long texts need: both sides of a Python worker's pipe hold several batches at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +30,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of documents become smaller, unless the session has a size of its own."""
+    for key, (default, small) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which an idle worker gives the memory that it no longer uses back to the system."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores appended until ``df`` has no column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelattice.llm.common import released, small_batches
 from codelattice.llm.textvec import buffer_of, column, runs, slices, span_hashes, word_mask
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -132,7 +133,7 @@ def _counting(scores: dict[str, int], id_col: str, text_col: str):
                 tokens = np.bincount(row, counts[which], z - a).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids[a:z], pa.array(tokens), pa.array(np.bincount(row, minlength=z - a))], ["doc_id", "tokens", "pre_tokens"])
 
-    return run
+    return released(run)
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", scores: dict[str, int] | None = None) -> DataFrame:
@@ -140,6 +141,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
 
     Null and empty texts have no tokens.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(_counting(scores if scores is not None else vocabulary(tokenizer), "doc_id", "text"), f"doc_id {kind}, tokens long, pre_tokens long")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelattice.llm.common import released, small_batches
 from codelattice.llm.textvec import column
 
 #: Bound of the training sample, in pages.
@@ -321,7 +322,7 @@ def _extracting(model: Boosted, pages_at_once: int = 200):
                     nodes.append(len(own) - 1)
                 yield pa.RecordBatch.from_arrays([ids[a:z], pa.array(texts, pa.string()), pa.array(nodes, pa.int32()), pa.array(kept, pa.int32())], ["page_id", "text", "nodes", "kept"])
 
-    return run
+    return released(run)
 
 
 def extracted(pages: DataFrame, model: Boosted, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -331,6 +332,7 @@ def extracted(pages: DataFrame, model: Boosted, id_col: str = "page_id", html_co
     put up with as browsers do; entities are resolved and white space is squeezed.  A model without training pages keeps
     nothing.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
+    small_batches(pages.sparkSession)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html"))
     kind = narrow.schema["page_id"].dataType.simpleString()
     return narrow.mapInArrow(_extracting(model), f"page_id {kind}, text string, nodes int, kept int")

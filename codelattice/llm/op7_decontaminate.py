@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import unused, written
+from codelattice.llm.common import released, small_batches, unused, written
 from codelattice.llm.textvec import buffer_of, column, lowered, mix, runs, slices, span_hashes, window_hashes, word_mask
 
 WINDOW, SHORTEST = 8, 4
@@ -133,7 +133,7 @@ def _windowing(sizes: list[int], filter_hashes: np.ndarray | None, whole_short:
                     owner = pa.array(t.text[at])
                     yield pa.RecordBatch.from_arrays([ids[a:z].take(owner), pa.array(at - begins[t.text[at]]), pa.array(np.full(len(at), size, np.int32)), pa.array(named), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "size", "named", "hash", "slots"])
 
-    return run
+    return released(run)
 
 
 def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,6 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     an admissible window.  Rows that repeat a document or an item count as one document or item.  Empty tables give no
     rows.  Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     items = _narrow(benchmark, item_col, item_text_col)
     item_windows = written(items.mapInArrow(_windowing([WINDOW, *range(SHORTEST, WINDOW)], None, True), _SCHEMA).distinct(), "op7-items")
     sizes = [r[0] for r in item_windows.select("size").distinct().orderBy("size").collect()]

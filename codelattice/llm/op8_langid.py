@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelattice.llm.common import released, small_batches
 from codelattice.llm.textvec import buffer_of, column, slices
 
 HIDDEN, STRETCH = 8, 64
@@ -216,14 +217,16 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
     has a mean probability of ``LEAST``.  Rows with a null id are labelled too; rows with a null language are only left
     out of the training.  Without a labelled row every document is rejected.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     network = network or train(docs, id_col, text_col, lang_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(_labelling(network, "doc_id", "text"), f"doc_id {kind}, predicted string, confidence double")
+    return narrow.mapInArrow(released(_labelling(network, "doc_id", "text")), f"doc_id {kind}, predicted string, confidence double")
 
 
 def accepted(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows that ``identify`` rejects: one pass over the rows, without a join."""
+    small_batches(docs.sparkSession)
     network = network or train(docs, id_col, text_col, lang_col)
     label = _labelling(network, id_col, text_col)
 
@@ -232,4 +235,4 @@ def accepted(docs: DataFrame, network: Network | None = None, id_col: str = "doc
             marks = [x.column(1).is_valid() for x in label(iter([batch]))]
             yield batch.filter(pa.chunked_array(marks).combine_chunks()) if marks else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import drop, written
+from codelattice.llm.common import drop, released, small_batches, written
 from codelattice.llm.textvec import Words, column, slices, window_hashes
 
 PASSAGE, PHRASE = 50, 25
@@ -66,7 +66,7 @@ def _selecting(phrase: int, passage: int):
                 row = np.searchsorted(words.bounds, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids[a:z].take(pa.array(row)), pa.array((at - words.bounds[row]).astype(np.int32))], ["hash", "doc_id", "at"])
 
-    return run
+    return released(run)
 
 
 def _packed(words: Words, i: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def _segmenting(phrase: int, passage: int):
                                 x.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["shard", "doc_id", "a", "b"])
 
-    return run
+    return released(run)
 
 
 def _agreeing(x: np.ndarray, y: np.ndarray) -> int:
@@ -189,7 +189,7 @@ def _scanning(phrase: int, passage: int):
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "first_word", "last_word", "start", "end"])
 
-    return run
+    return released(run)
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", phrases: int = PHRASES, documents: int = DOCUMENTS) -> DataFrame:
@@ -201,6 +201,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, phrase: int = PHR
     the same passage, a range may be up to ``passage - phrase`` words short at either end, as it is extended against the
     first and last of them only.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     chosen = written(docs.mapInArrow(_selecting(phrase, passage), "hash long, doc_id long, at int"), "op9-selected")
