@@ -235,3 +235,18 @@ def test_repeated_passages_edges(spark):
     alone = [(1, passage), (1, passage)]
     assert op9_repeats.repeated_passages(frame(spark, alone)).collect() == []
     assert op9_repeats.repeated_passages(frame(spark, [])).collect() == []
+
+
+def test_repeated_passages_inside_a_group_that_shares_only_a_phrase(spark):
+    shared = prose(40)
+    rows = [(i, " ".join([*prose(60), *shared, *prose(60)])) for i in range(20)]
+    for pair in ((9, 10), (12, 15)):
+        before, after = prose(10), prose(10)
+        for i in pair:
+            rows[i] = (i, " ".join([*prose(60), *before, *shared, *after, *prose(60)]))
+    base = prose(300)
+    rows += [(30 + i, " ".join(changed(base, 0.05))) for i in range(30)]
+    got = {tuple(r) for r in op9_repeats.repeated_passages(frame(spark, rows)).collect()}
+    assert got == brute_passages(rows, op9_repeats.PASSAGE)
+    assert {(i, 60) for i in (9, 10, 12, 15)} == {(i, n) for i, _, _, n in got if i < 20}
+    assert got == {tuple(r) for r in op9_repeats.repeated_passages(frame(spark, rows), phrases=3, documents=2).collect()}
