@@ -2,10 +2,12 @@
 
 Texts become templates: numbers, units that follow a number, and names are replaced by typed placeholders.  Windows of
 ``WINDOW`` template words are hash-joined between documents and benchmark items, in two forms: one that leaves names
-as they are, and one that makes them placeholders too.  Each matching window also pairs the values of its slots, and
-an item counts as found in a document when enough of its windows match and the pairs are consistent: within a
-type, one benchmark value always has the same value in the document, and the other way round.  So a question whose
-numbers, names or units were exchanged throughout is caught, and a chance overlap of templates is not.
+as they are, and one that makes them placeholders too.  Each matching window also pairs the values of its slots.  The
+matches of an item at one distance between its words and the document's are one occurrence, within which the pairs
+have to be consistent: within a type, one benchmark value always has the same value in the document.  A window with a
+value that has several gives no evidence, unless all its values are those of the item.  An item counts as found in
+a document when enough of its windows give evidence.  So a question whose numbers, names or units were exchanged
+throughout is caught, however many other variants of it stand beside it.
 
 A name is a capitalised word that doesn't begin a sentence.  Neighbouring numbers are one slot.  A window needs at
 least half literal words.  Items of less than ``WINDOW`` but at least ``SHORTEST`` template words are one window.
@@ -159,13 +161,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     totals = item_windows.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("windows"))
     right = item_windows.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "size", "named", F.col("slots").alias("item_slots"))
     hits = found.withColumnRenamed("slots", "doc_slots").join(right, ["hash", "size", "named"]).where("size(doc_slots) = size(item_slots)")
-    hits = written(hits.select(F.col("id").alias("doc_id"), "item_id", "item_at", "named", F.arrays_zip("item_slots", "doc_slots").alias("pairs")), "op7-hits")
-    keys = ["doc_id", "item_id", "named"]
-    pairs = hits.select(*keys, F.explode("pairs").alias("p")).groupBy(*keys).agg(
-        F.count_distinct("p").alias("n"), F.count_distinct("p.item_slots").alias("ours"), F.count_distinct("p.doc_slots").alias("theirs")
-    )
-    # A form (names literal or not) whose slots contradict each other gives no evidence.
-    sound = hits.join(pairs.where("n <> ours or n <> theirs").select(*keys), keys, "left_anti")
+    hits = written(hits.select(F.col("id").alias("doc_id"), "item_id", "item_at", "named", (F.col("at") - F.col("item_at")).alias("distance"), F.arrays_zip("item_slots", "doc_slots").alias("pairs")), "op7-hits")
+    keys = ["doc_id", "item_id", "named", "distance"]
+    pairs = hits.select(*keys, F.explode("pairs").alias("p")).select(*keys, F.col("p.item_slots").alias("ours"), F.col("p.doc_slots").alias("theirs"))
+    several = pairs.groupBy(*keys, "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high")).where("low <> high")
+    contested = several.groupBy(*keys).agg(F.collect_list("ours").alias("contested"))
+    sound = hits.join(contested, keys, "left").where("contested is null or not arrays_overlap(pairs.item_slots, contested) or forall(pairs, p -> p.item_slots = p.doc_slots)")
     matched = sound.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("matched"))
     out = matched.join(totals, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
     return out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "matched", "windows", "coverage")

@@ -250,3 +250,17 @@ def test_repeated_passages_inside_a_group_that_shares_only_a_phrase(spark):
     assert got == brute_passages(rows, op9_repeats.PASSAGE)
     assert {(i, 60) for i in (9, 10, 12, 15)} == {(i, n) for i, _, _, n in got if i < 20}
     assert got == {tuple(r) for r in op9_repeats.repeated_passages(frame(spark, rows), phrases=3, documents=2).collect()}
+
+
+def test_decontamination_checks_each_occurrence_by_itself(spark):
+    item = "A train travels 120 km in 2 hours to the coast. A train travels 90 km in 3 hours to the hills."
+    long = "The red barge of the old miller carries 40 sacks of flour down the quiet river to the town of the bakers every week."
+    filler = lambda: " ".join(prose(30))
+    docs = [
+        (1, f"{filler()}. {item}"),
+        (2, f"{filler()}. {long} {filler()}. {long.replace('40', '70')}"),
+        (3, f"{filler()}. {item.replace('120', '80').replace('90', '80')}"),
+        (4, filler()),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in op7_decontaminate.contaminated(frame(spark, docs), benchmark(spark, [(1, item), (2, long)])).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1)}
