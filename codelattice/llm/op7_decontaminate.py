@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, units that follow a number, and names are replaced by typed placeholders.  Windows of
-``WINDOW`` template words are hash-joined between documents and benchmark items, in two forms: one that leaves names
-as they are, and one that makes them placeholders too.  Each matching window also pairs the values of its slots.  The
+``WINDOW`` template words are hash-joined between documents and benchmark items, in three forms: one that leaves names
+as they are, one that makes them placeholders too, and one in which any capitalised word that begins a sentence is a name.  Each matching window also pairs the values of its slots.  The
 matches of an item at one distance between its words and the document's are one occurrence, within which the pairs
 have to be consistent: within a type, one benchmark value always has the same value in the document.  A window with a
 value that has several gives no evidence, unless all its values are those of the item.  An item counts as found in
@@ -10,7 +10,7 @@ a document when enough of its windows give evidence.  So a question whose number
 throughout is caught, however many other variants of it stand beside it.
 
 A name is a capitalised word that doesn't begin a sentence.  Neighbouring numbers are one slot.  A window needs at
-least half literal words.  Items of less than ``WINDOW`` but at least ``SHORTEST`` template words are one window.
+least half literal words, of which those that begin sentences may be placeholders if ``LITERAL`` others are left.  Items of less than ``WINDOW`` but at least ``SHORTEST`` template words are one window.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from codelattice.llm.textvec import buffer_of, column, lowered, mix, runs, slice
 WINDOW, SHORTEST = 8, 4
 #: Share of an item's windows that a document must have.
 COVERAGE = 0.5
+#: Words that a window has to have in common with another if words that begin sentences are placeholders.
+LITERAL = 3
 #: Up to this many distinct window hashes (8 bytes each) go to every task as a filter; beyond it, all windows are joined by a shuffle.
 FILTER_HASHES = 2_000_000
 
@@ -41,7 +43,9 @@ UNITS = (
 ).split()
 
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x1B873593AAAAAAAB, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B))
-_KINDS = "", "number", "unit", "name"
+_KINDS = "", "number", "unit", "name", "name"
+#: Kinds that are slots, by form.
+_SLOTS = (1, 2), (1, 2, 3), (1, 2, 3, 4)
 
 
 def _one(words: list[str]) -> np.ndarray:
@@ -53,7 +57,7 @@ _UNIT_HASHES = np.sort(_one(UNITS))
 
 
 class Template:
-    """The template words of a slice of texts: per word its hash in both forms, its kind (0 literal, 1 number, 2 unit, 3 name) and byte range."""
+    """The template words of a slice of texts: per word its hash in each form, its kind (0 literal, 1 number, 2 unit, 3 name, 4 capitalised at the beginning of a sentence) and byte range."""
 
     def __init__(self, texts: pa.Array) -> None:
         self.data, self.offsets = buffer_of(texts)
@@ -80,37 +84,40 @@ class Template:
         before = np.zeros(len(start), np.int64)
         before[1:] = end[:-1]
         name = capital & same & (stops[start] == stops[before]) & ~unit
-        kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))[kept]
+        kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, np.where(capital, 4, 0))))[kept]
         self.start, self.end, self.text, self.kind = start[kept], ends, text[kept], kind
-        self.plain = np.where(kind == 1, _NUM, np.where(kind == 2, _UNIT, hashes[kept]))
-        self.named = np.where(kind == 3, _NAME, self.plain)
+        plain = np.where(kind == 1, _NUM, np.where(kind == 2, _UNIT, hashes[kept]))
+        self.forms = plain, np.where(kind == 3, _NAME, plain), np.where(kind >= 3, _NAME, plain)
         self.lower = lower
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, hash, with names as placeholders) of each admissible window within one text."""
+        """(first word, hash, form) of each admissible window within one text."""
         n = len(self.text) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         inside = self.text[:n] == self.text[size - 1 :]
         salt = np.uint64(size)
+
+        def among(of: np.ndarray) -> np.ndarray:
+            counts = np.concatenate(([0], np.cumsum(of)))
+            return counts[size:] - counts[:-size]
+
+        numbers, names, initial = among((self.kind == 1) | (self.kind == 2)), among(self.kind == 3), among(self.kind == 4)
+        few = inside & (2 * (numbers + names) <= size)
+        # Without a name, or without a beginning of a sentence, a form is the same as the one before.
+        admissible = inside & (2 * numbers <= size), few & (names > 0), few & (initial > 0) & (size - numbers - names - initial >= LITERAL)
         out = []
-        for named in (False, True):
-            hashes = mix(window_hashes(self.named if named else self.plain, size) ^ salt)
-            slots = np.concatenate(([0], np.cumsum((self.kind > 0) if named else (self.kind == 1) | (self.kind == 2))))
-            admissible = inside & (2 * (slots[size:] - slots[:-size]) <= size)
-            if named:  # without a name, the two forms are one
-                names = np.concatenate(([0], np.cumsum(self.kind == 3)))
-                admissible &= names[size:] > names[:-size]
-            at = np.flatnonzero(admissible)
-            out.append((at, hashes[at], np.full(len(at), named)))
+        for form, of in enumerate(admissible):
+            at = np.flatnonzero(of)
+            out.append((at, mix(window_hashes(self.forms[form], size) ^ salt)[at], np.full(len(at), form, np.int32)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def slots(self, at: int, size: int, named: bool) -> list[str]:
+    def slots(self, at: int, size: int, form: int) -> list[str]:
         """The values of a window's slots, each with its type before it."""
-        return [f"{_KINDS[k]} {self.lower[self.start[i] : self.end[i]].tobytes().decode(errors='replace')}" for i, k in enumerate(self.kind[at : at + size], at) if k in ((1, 2, 3) if named else (1, 2))]
+        return [f"{_KINDS[k]} {self.lower[self.start[i] : self.end[i]].tobytes().decode(errors='replace')}" for i, k in enumerate(self.kind[at : at + size], at) if k in _SLOTS[form]]
 
 
-_SCHEMA = "id long, at long, size int, named boolean, hash long, slots array<string>"
+_SCHEMA = "id long, at long, size int, form int, hash long, slots array<string>"
 
 
 def _windowing(sizes: list[int], filter_hashes: np.ndarray | None, whole_short: bool):
@@ -122,18 +129,18 @@ def _windowing(sizes: list[int], filter_hashes: np.ndarray | None, whole_short:
                 begins = np.searchsorted(t.text, np.arange(z - a + 1))
                 numbers = np.diff(begins)
                 for size in sizes:
-                    at, hashes, named = t.windows(size)
+                    at, hashes, form = t.windows(size)
                     keep = np.ones(len(at), bool)
                     if filter_hashes is not None:
                         keep &= filter_hashes[np.searchsorted(filter_hashes, hashes).clip(max=len(filter_hashes) - 1)] == hashes if len(filter_hashes) else False
                     if whole_short and size < WINDOW:  # short items: their one window
                         keep &= numbers[t.text[at]] == size
-                    at, hashes, named = at[keep], hashes[keep], named[keep]
+                    at, hashes, form = at[keep], hashes[keep], form[keep]
                     if not len(at):
                         continue
-                    slots = [t.slots(int(i), size, bool(n)) for i, n in zip(at, named, strict=True)]
+                    slots = [t.slots(int(i), size, int(n)) for i, n in zip(at, form, strict=True)]
                     owner = pa.array(t.text[at])
-                    yield pa.RecordBatch.from_arrays([ids[a:z].take(owner), pa.array(at - begins[t.text[at]]), pa.array(np.full(len(at), size, np.int32)), pa.array(named), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "size", "named", "hash", "slots"])
+                    yield pa.RecordBatch.from_arrays([ids[a:z].take(owner), pa.array(at - begins[t.text[at]]), pa.array(np.full(len(at), size, np.int32)), pa.array(form), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "size", "form", "hash", "slots"])
 
     return released(run)
 
@@ -159,10 +166,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         hashes = np.sort(np.array([r[0] for r in distinct.toPandas().itertuples(index=False)], np.int64).view(np.uint64))
     found = _narrow(docs, id_col, text_col).mapInArrow(_windowing(sizes, hashes, False), _SCHEMA)
     totals = item_windows.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("windows"))
-    right = item_windows.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "size", "named", F.col("slots").alias("item_slots"))
-    hits = found.withColumnRenamed("slots", "doc_slots").join(right, ["hash", "size", "named"]).where("size(doc_slots) = size(item_slots)")
-    hits = written(hits.select(F.col("id").alias("doc_id"), "item_id", "item_at", "named", (F.col("at") - F.col("item_at")).alias("distance"), F.arrays_zip("item_slots", "doc_slots").alias("pairs")), "op7-hits")
-    keys = ["doc_id", "item_id", "named", "distance"]
+    right = item_windows.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "size", "form", F.col("slots").alias("item_slots"))
+    hits = found.withColumnRenamed("slots", "doc_slots").join(right, ["hash", "size", "form"]).where("size(doc_slots) = size(item_slots)")
+    hits = written(hits.select(F.col("id").alias("doc_id"), "item_id", "item_at", "form", (F.col("at") - F.col("item_at")).alias("distance"), F.arrays_zip("item_slots", "doc_slots").alias("pairs")), "op7-hits")
+    keys = ["doc_id", "item_id", "form", "distance"]
     pairs = hits.select(*keys, F.explode("pairs").alias("p")).select(*keys, F.col("p.item_slots").alias("ours"), F.col("p.doc_slots").alias("theirs"))
     several = pairs.groupBy(*keys, "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high")).where("low <> high")
     contested = several.groupBy(*keys).agg(F.collect_list("ours").alias("contested"))

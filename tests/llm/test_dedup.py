@@ -264,3 +264,12 @@ def test_decontamination_checks_each_occurrence_by_itself(spark):
     ]
     got = {(r["doc_id"], r["item_id"]) for r in op7_decontaminate.contaminated(frame(spark, docs), benchmark(spark, [(1, item), (2, long)])).collect()}
     assert got == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_decontamination_finds_renamed_subjects_of_sentences(spark):
+    items = [(1, "Tom has 5 apples. Tom gives 2 to Ann."), (2, "Clara walks to school in the morning. Clara walks home by bus when it rains. How does Clara walk?")]
+    renamed = {"Tom": "Sam", "Ann": "Eve", "Clara": "Julia"}
+    docs = [(i, " ".join(prose(30)) + ". " + re.sub("Tom|Ann|Clara", lambda m: renamed[m[0]], t)) for i, t in items]
+    docs += [(3, "Rain falls on 5 days. Wind blows 2 to three.")]
+    got = {(r["doc_id"], r["item_id"]) for r in op7_decontaminate.contaminated(frame(spark, docs), benchmark(spark, items)).collect()}
+    assert got == {(1, 1), (2, 2)}
