@@ -29,8 +29,6 @@ PER_LANGUAGE, STRETCHES = 200, 24
 STEPS, BATCH, RATE, SEED = 500, 128, 0.02, 7
 #: A document is rejected if its best language has a lower mean probability, or if it has no letter.
 LEAST = 0.4
-#: A language needs this share of the labelled rows to become a class.
-LEAST_SHARE = 0.001
 _SLICE = 1 << 18
 
 
@@ -173,10 +171,9 @@ class Network:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Network:
-    """A network fitted to the ``per_language`` labelled rows of each language whose ids have the smallest hashes."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col)).count().collect()}
-    languages = sorted(k for k, v in counts.items() if v >= LEAST_SHARE * sum(counts.values()))
+    """A network fitted to the ``per_language`` labelled rows of each language whose ids have the smallest hashes.  Every language with a labelled row is a class, however small its share."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(F.col(text_col)) > 0))
+    languages = sorted(r[0] for r in labelled.select(lang_col).distinct().collect())
     if not languages:
         return Network([])
     order = Window.partitionBy("lang").orderBy("h", "id")

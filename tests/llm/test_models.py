@@ -121,3 +121,9 @@ def test_pipeline_takes_each_stage_s_decisions(spark, documents):
         docs = spark.createDataFrame(out.toPandas(), out.schema) if name != corpus_pipeline.STAGES[-1][0] else out
     assert seen == sorted(seen, reverse=True) and seen[-1] > 0
     assert {"old_shard", "new_shard"} <= set(docs.columns)
+
+
+def test_rare_languages_become_classes(spark):
+    rows = [(i, f"word{i} and the house", "en") for i in range(3000)] + [(5000 + i, "žluťoučký kůň úpěl " * 3, "cs") for i in range(2)] + [(6000, "", "xx"), (6001, None, "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert op8_langid.train(df, per_language=20, steps=2).languages == ["cs", "en"]
