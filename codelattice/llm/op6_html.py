@@ -102,9 +102,16 @@ class Dom:
         del open_now[until:]
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f]")
 FEATURES = "tag attrs depth good bad good_above bad_above text words link_share elements density punctuation digits sibling siblings parent_share before after position is_text longest_below hidden".split()
 
 
+def _digits(text: str) -> int:
+    """Digits of the whole text: those of ASCII by the bytes that go without them, others one by one."""
+    data = text.encode(errors="replace")
+    return len(data) - len(data.translate(None, b"0123456789")) + (0 if text.isascii() else sum(map(str.isdigit, _FOREIGN.findall(text))))
+
+
 def features(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node by feature, parent, end) of the nodes of all pages, numbered through; parents and ends too."""
     sizes = [len(d.tag) for d in doms]
@@ -123,7 +130,7 @@ def features(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.fromiter(map(len, texts), np.int64, n)
     words = np.fromiter((t.count(" ") + 1 if t else 0 for t in texts), np.int64, n)
     marks = np.fromiter((t.count(",") + t.count(".") if t else 0 for t in texts), np.int64, n)
-    digits = np.fromiter((sum(map(str.isdigit, t[:200])) if t else 0 for t in texts), np.int64, n)
+    digits = np.fromiter(map(_digits, texts), np.int64, n)
     hidden = np.fromiter((t in HIDDEN for t in tags), bool, n)
     link = np.fromiter((t == "a" for t in tags), bool, n)
     flags = [np.fromiter((x for d in doms for x in getattr(d, k)), np.int64, n) for k in ("good", "bad", "attrs")]

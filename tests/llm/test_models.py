@@ -127,3 +127,10 @@ def test_rare_languages_become_classes(spark):
     rows = [(i, f"word{i} and the house", "en") for i in range(3000)] + [(5000 + i, "žluťoučký kůň úpěl " * 3, "cs") for i in range(2)] + [(6000, "", "xx"), (6001, None, "yy")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert op8_langid.train(df, per_language=20, steps=2).languages == ["cs", "en"]
+
+
+def test_digits_count_wherever_they_stand_in_a_text():
+    column = op6_html.FEATURES.index("digits")
+    pages = ["<p>" + t + "</p>" for t in ("1234567 " + "é word " * 100, "é word " * 100 + "1234567 ", "é word " * 100 + "12345²٧ ")]
+    shares = [op6_html.features([op6_html.Dom(p)])[0][:, column].max() for p in pages]
+    assert shares[0] > 0 and shares[1] == pytest.approx(shares[0]) and shares[2] == pytest.approx(shares[0])
