@@ -3,17 +3,18 @@
 A recording (16-bit PCM in a WAV container) becomes frames of 12 pitch-class energies.  Filters compare the
 sums of neighbouring rectangles of that image, taken from its integral image, and quantise the log-ratio to two bits
 each; sixteen filters make one packed 32-bit integer for each position.  Two recordings are candidates when they share
-packed integers; a histogram of the time offsets of these votes gives the alignment, and the share of differing bits over
-the whole overlap at that offset decides whether they are the same recording.
+packed integers; a histogram of the time offsets of these votes gives the alignments, and the share of differing bits over
+the whole overlap at the best of them decides whether they are the same recording.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.common import drop, written
@@ -25,8 +26,11 @@ LOWEST = 110.0
 FILTERS = [(1, 0, 12, 8), (2, 0, 12, 12), (3, 0, 12, 8), (2, 0, 6, 6), (2, 6, 6, 6), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (4, 0, 12, 10), (4, 0, 6, 14), (4, 6, 6, 14), (5, 0, 12, 12), (3, 0, 6, 12), (3, 6, 6, 12), (2, 3, 6, 8), (0, 0, 3, 16)]
 WIDTH = 16
 THRESHOLDS = (-0.12, 0.0, 0.12)
-#: Share of differing bits below which the overlap is the same recording, and the least overlap in positions.
-MOST_BITS, LEAST_OVERLAP = 0.2, 16
+#: Share of differing bits up to which the overlap is the same recording, and the least overlap in positions.  Up to 0.1
+#: nearly every pair shares an exact integer; chance alignments of unrelated recordings begin at about 0.14.
+MOST_BITS, LEAST_OVERLAP = 0.1, 16
+#: Positions around a vote that are compared before it counts, and the share of their bits that may differ.
+AROUND, MOST_AROUND = (-8, -4, 4, 8), 0.25
 #: Frames below this share of the recording's loudest frame are silence: they don't vote.
 SILENCE = 0.01
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -160,23 +164,59 @@ def _comparing(most_bits: float, least_overlap: int):
     return run
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(id, class_id, fingerprint, voting): one print for each id; equal prints are one class, named by its smallest id."""
+    one = prints.where("id is not null and size(fingerprint) > 0").groupBy("id").agg(F.max(F.struct(F.size("fingerprint").alias("n"), "fingerprint", F.col("votes").alias("voting"))).alias("p"))
+    one = one.select("id", "p.fingerprint", "p.voting", F.sha2(F.concat_ws(",", F.col("p.fingerprint").cast("array<string>")), 256).alias("print"))
+    heads = one.groupBy("print").agg(F.min("id").alias("class_id"))
+    return one.join(heads, "print").select("id", "class_id", "fingerprint", "voting")
+
+
 def aligned(prints: DataFrame, most_bits: float = MOST_BITS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """(a, b, offset, votes, overlap, bit_errors, error_rate): the pairs a < b of the same recording; position p of a is position p + offset of b.
 
-    Of offsets with equally many votes the one nearest 0 is taken, then the smaller.  Null ids and empty fingerprints match
-    nothing; of rows that repeat an id the longest fingerprint counts, then the greatest.  Pairs that share no packed
-    integer are not found.  No integer is left out for being frequent, except in silence.
+    Recordings with equal fingerprints are one class, of which only the smallest id is paired.  Every offset that has a
+    vote is compared, and the one with the least error counts; of equal ones that with most votes, then the one nearest
+    0, then the smaller.  A vote is an equal packed integer at two places whose surroundings (``AROUND``) differ in at most
+    ``MOST_AROUND`` of their bits.  Null ids and empty fingerprints match nothing; of rows that repeat an id the longest
+    fingerprint counts, then the greatest.  An empty table gives no rows.  Pairs that share no packed integer are not
+    found; no integer is left out for being frequent, except in silence.
     """
-    one = prints.where("id is not null and size(fingerprint) > 0").groupBy("id").agg(F.max(F.struct(F.size("fingerprint").alias("n"), "fingerprint", F.col("votes").alias("voting"))).alias("p"))
-    one = written(one.select("id", "p.fingerprint", "p.voting"), "op2-prints")
-    keys = one.select("id", F.posexplode(F.arrays_zip("fingerprint", "voting")).alias("at", "k")).where("k.voting").select("id", "at", F.col("k.fingerprint").alias("key"))
-    left, right = keys.withColumnsRenamed({"id": "a", "at": "at_a"}), keys.withColumnsRenamed({"id": "b", "at": "at_b"})
-    votes = left.join(right, "key").where("a < b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("v"))
-    best = best.select("a", "b", (-F.col("v.low")).alias("offset"), F.col("v.votes").alias("votes"))
-    both = best.join(one.select(F.col("id").alias("a"), F.col("fingerprint").alias("fp_a")), "a").join(one.select(F.col("id").alias("b"), F.col("fingerprint").alias("fp_b")), "b")
-    kind = prints.schema["id"].dataType.simpleString()
-    return both.mapInArrow(_comparing(most_bits, least_overlap), f"a {kind}, b {kind}, offset int, votes long, overlap long, bit_errors long, error_rate double")
+    return _aligned(written(_classes(prints), "op2-prints"), most_bits, least_overlap)
+
+
+def _aligned(classes: DataFrame, most_bits: float, least_overlap: int) -> DataFrame:
+    kind = classes.schema["id"].dataType.simpleString()
+    one = classes.where("id = class_id")
+    keys = one.select("id", "fingerprint", F.posexplode(F.arrays_zip("fingerprint", "voting")).alias("at", "k")).where("k.voting").select("id", "at", F.col("k.fingerprint").alias("key"), *(F.get("fingerprint", F.col("at") + F.lit(d)).alias(f"n{i}") for i, d in enumerate(AROUND)))
+    left, right = (keys.withColumnsRenamed({"id": x, "at": f"at_{x}"} | {f"n{i}": f"n{i}_{x}" for i in range(len(AROUND))}) for x in "ab")
+    differing = [F.bit_count(F.col(f"n{i}_a").bitwiseXOR(F.col(f"n{i}_b"))) for i in range(len(AROUND))]
+    bits = reduce(Column.__add__, (F.coalesce(d, F.lit(0)) for d in differing))
+    there = reduce(Column.__add__, (d.isNotNull().cast("int") for d in differing))
+    votes = left.join(right, "key").where((F.col("a") < F.col("b")) & (bits <= 32 * MOST_AROUND * there)).groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("votes"))
+    both = votes.join(one.select(F.col("id").alias("a"), F.col("fingerprint").alias("fp_a")), "a").join(one.select(F.col("id").alias("b"), F.col("fingerprint").alias("fp_b")), "b")
+    near = both.mapInArrow(_comparing(most_bits, least_overlap), f"a {kind}, b {kind}, offset int, votes long, overlap long, bit_errors long, error_rate double")
+    best = near.groupBy("a", "b").agg(F.min(F.struct("error_rate", (-F.col("votes")).alias("few"), F.abs("offset").alias("far"), "offset", "overlap", "bit_errors")).alias("v"))
+    return best.select("a", "b", "v.offset", (-F.col("v.few")).alias("votes"), "v.overlap", "v.bit_errors", "v.error_rate")
+
+
+def matches(prints: DataFrame, most_bits: float = MOST_BITS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
+    """(id, class_id, copies, links, partner_id, offset, error_rate): a row for each recording that is found again.
+
+    ``class_id`` is the smallest id with the same fingerprint, ``copies`` the number of others that have it, and ``links``
+    the number of other classes that hold the same recording as ``aligned`` says.  ``partner_id`` is the linked class of
+    the least error (then the smallest), at ``offset`` from this one; null for a recording that only has copies.
+    """
+    classes = written(_classes(prints), "op2-prints")
+    pairs = written(_aligned(classes, most_bits, least_overlap), "op2-pairs")
+    sides = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("o"), "offset", "error_rate").union(pairs.select("b", "a", -F.col("offset"), "error_rate"))
+    linked = sides.groupBy("class_id").agg(F.count("*").alias("links"), F.min(F.struct("error_rate", "o", "offset")).alias("p"))
+    sizes = classes.groupBy("class_id").agg((F.count("*") - 1).alias("copies"))
+    found = sizes.join(linked, "class_id", "left").where("copies > 0 or links is not null")
+    out = classes.select("id", "class_id").join(found, "class_id")
+    out = written(out.select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("p.o").alias("partner_id"), F.col("p.offset").alias("offset"), F.col("p.error_rate").alias("error_rate")), "op2-matches")
+    drop(classes, pairs)
+    return out
 
 
 STEPS, NOTE = 64, 512

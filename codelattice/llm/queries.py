@@ -21,7 +21,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_audio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The media column is a WAV recording that plays each embedding."""
     prints = op2_audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", op2_audio.rendered_wav)
-    return op2_audio.aligned(prints)
+    return op2_audio.matches(prints)
 
 
 def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:

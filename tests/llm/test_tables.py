@@ -55,22 +55,19 @@ def test_url_filters_edges(spark):
 
 
 def brute_aligned(prints):
-    out = []
+    """All pairs at all offsets: the least share of differing bits, for pairs within MOST_BITS."""
+    out = {}
     for a in prints:
         for b in prints:
             if a < b:
-                (pa, va), (pb, vb) = prints[a], prints[b]
-                votes = {}
-                for i in np.flatnonzero(va):
-                    for j in np.flatnonzero((pb == pa[i]) & vb):
-                        votes[int(j - i)] = votes.get(int(j - i), 0) + 1
-                if votes:
-                    offset = max(votes, key=lambda o: (votes[o], -abs(o), -o))
+                pa, pb = prints[a][0], prints[b][0]
+                for offset in range(-len(pa), len(pb) + 1):
                     first, last = max(0, -offset), min(len(pa), len(pb) - offset)
-                    wrong = int(np.bitwise_count(pa[first:last] ^ pb[first + offset : last + offset]).sum()) if last > first else 0
-                    if last - first >= op2_audio.LEAST_OVERLAP and wrong / (32 * (last - first)) <= op2_audio.MOST_BITS:
-                        out.append((a, b, offset, votes[offset], last - first, wrong))
-    return sorted(out)
+                    if last - first >= op2_audio.LEAST_OVERLAP:
+                        share = int(np.bitwise_count(pa[first:last] ^ pb[first + offset : last + offset]).sum()) / (32 * (last - first))
+                        if share <= min(op2_audio.MOST_BITS, out.get((a, b), (0, 1))[1] - 1e-15):
+                            out[a, b] = (offset, share)
+    return out
 
 
 def test_audio_alignment_matches_brute_force(spark):
@@ -80,17 +77,32 @@ def test_audio_alignment_matches_brute_force(spark):
     media = [(i, bytearray(op2_audio.wav_bytes(s))) for i, s in enumerate([*songs, noisy, songs[1]])]
     df = spark.createDataFrame([(i, m, 1, "k") for i, m in media], "id long, media binary, fingerprint int, key string")
     prints = op2_audio.fingerprints(df)
-    got = sorted(tuple(r)[:6] for r in op2_audio.aligned(prints).collect())
-    assert got == brute_aligned({i: op2_audio.fingerprint(op2_audio.wav_samples(bytes(m))) for i, m in media})
-    assert [(a, b, o) for a, b, o, *_ in got] == [(0, 5, -6), (1, 6, 0)]
+    got = {(r["a"], r["b"]): (r["offset"], r["error_rate"]) for r in op2_audio.aligned(prints).collect()}
+    assert got == brute_aligned({i: op2_audio.fingerprint(op2_audio.wav_samples(bytes(m))) for i, m in media if i < 6})
+    assert {k: o for k, (o, _) in got.items()} == {(0, 5): -6}
+    rows = {r["id"]: tuple(r)[1:6] for r in op2_audio.matches(prints).collect()}
+    assert rows == {0: (0, 0, 1, 5, -6), 5: (5, 0, 1, 0, 6), 1: (1, 1, 0, None, None), 6: (1, 1, 0, None, None)}
+
+
+def test_audio_recall_over_all_pairs_and_offsets(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60")
+    near = [(v + 1000, [x + float(RNG.normal(0, 0.001 + 0.0003 * (v % 40))) for x in e]) for v, e in table.select("vec_id", "embedding").collect()]
+    media = table.select("vec_id", "embedding").union(spark.createDataFrame(near, "vec_id long, embedding array<float>"))
+    wanted = brute_aligned({r[0]: op2_audio.fingerprint(op2_audio.rendered_wav(r[1])) for r in media.collect()})
+    got = {(r["a"], r["b"]): r["error_rate"] for r in op2_audio.aligned(op2_audio.fingerprints(media, "vec_id", "embedding", op2_audio.rendered_wav)).collect()}
+    assert len(wanted) >= 30 and len(got.keys() & wanted.keys()) >= 0.9 * len(wanted) and got.keys() <= wanted.keys()
+    assert all(got[k] == pytest.approx(wanted[k][1]) for k in got)
 
 
 def test_audio_edges(spark):
     song, silence = op2_audio.wav_bytes(op2_audio.rendered(RNG.normal(size=64))), op2_audio.wav_bytes(np.zeros(30_000))
-    rows = [(1, None), (2, b""), (3, b"RIFF no wave"), (4, song[:2000]), (None, song), (6, song), (6, song), (7, song), (8, silence), (9, silence)]
+    long = op2_audio.wav_bytes(np.tile(op2_audio.rendered(RNG.normal(size=64)), 20))
+    rows = [(1, None), (2, b""), (3, b"RIFF no wave"), (4, song[:2000]), (None, song), (6, song), (6, song), (7, song), (8, silence), (9, silence), (10, long)]
     df = spark.createDataFrame([(i, m and bytearray(m)) for i, m in rows], "id long, media binary")
-    assert [(r["a"], r["b"], r["offset"], r["bit_errors"]) for r in op2_audio.aligned(op2_audio.fingerprints(df)).collect() if r["a"] < 8] == [(6, 7, 0, 0)]
-    assert op2_audio.aligned(op2_audio.fingerprints(df.limit(0))).collect() == []
+    prints = op2_audio.fingerprints(df)
+    assert op2_audio.aligned(prints).collect() == []
+    assert sorted((r["id"], r["class_id"], r["copies"], r["links"]) for r in op2_audio.matches(prints).collect()) == [(6, 6, 1, 0), (7, 6, 1, 0), (8, 8, 1, 0), (9, 8, 1, 0)]
+    assert op2_audio.aligned(op2_audio.fingerprints(df.limit(0))).collect() == [] == op2_audio.matches(op2_audio.fingerprints(df.limit(0))).collect()
     again = op2_audio.wav_samples(op2_audio.wav_bytes(samples := op2_audio.rendered([1.0, 0.5, -1])))
     assert np.abs(again - samples).max() < 1e-4
 
