@@ -10,6 +10,7 @@ from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What Spark has unless somebody sets it, and what batches of long texts need: both sides of a Python worker's pipe hold several batches at once.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
@@ -23,6 +24,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_to is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -87,3 +90,16 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Up to this many rows of ids (16 bytes each in a hash table of longs) are broadcast; more are merged by their keys.
+BROADCAST_ROWS = 500_000
+
+
+def counted(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The side ``ids`` of a join: broadcast if a count proves it small, otherwise for a merge join."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids.hint("merge")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; both tables ought to be written. Texts are only shuffled where the ids are too many to broadcast."""
+    (name,) = unused(docs, "__drop_id")
+    return docs.join(counted(ids.toDF(name)), F.col(id_col).cast("long") == F.col(name), "left_anti")

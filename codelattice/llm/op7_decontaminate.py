@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import released, small_batches, unused, written
+from codelattice.llm.common import drop, released, small_batches, without, written
 from codelattice.llm.textvec import buffer_of, column, lowered, mix, runs, slices, span_hashes, window_hashes, word_mask
 
 WINDOW, SHORTEST = 8, 4
@@ -176,14 +176,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     sound = hits.join(contested, keys, "left").where("contested is null or not arrays_overlap(pairs.item_slots, contested) or forall(pairs, p -> p.item_slots = p.doc_slots)")
     matched = sound.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("matched"))
     out = matched.join(totals, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
-    return out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "matched", "windows", "coverage")
+    out = written(out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "matched", "windows", "coverage"), "op7-found")
+    drop(item_windows, hits)
+    return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold an item; rows with null ids or texts stay."""
-    (name,) = unused(docs, "__drop_id")
-    drop = contaminated(docs, benchmark, coverage, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    found = contaminated(docs, benchmark, coverage, id_col, text_col, item_col, item_text_col)
+    return without(docs, written(found.select("doc_id").distinct(), "op7-gone"), id_col)
 
 
 def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

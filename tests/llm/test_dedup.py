@@ -76,6 +76,44 @@ def test_near_duplicates_match_brute_force(spark, near):
         assert heads[i] == heads[r["group_id"]] and r["group_id"] <= i
 
 
+def test_links_count_every_pair_of_different_sets(spark, near):
+    pairs, _ = brute_components(near, op4_jaccard.THRESHOLD)
+    sets, linked = {i: frozenset(grams(t)) for i, t in near}, defaultdict(set)
+    for a, b in pairs:
+        if sets[a] != sets[b]:
+            linked[a].add(sets[b])
+            linked[b].add(sets[a])
+    got = {r["doc_id"]: r for r in op4_jaccard.near_duplicates(frame(spark, near)).collect()}
+    assert sum(r["links"] == len(linked[i]) for i, r in got.items()) >= 0.97 * len(got)
+    assert all(r["links"] <= len(linked[i]) and sets[r["class_id"]] == sets[i] and r["class_id"] <= i for i, r in got.items())
+    assert all(got[i]["links"] == len(linked[i]) for i in got if len(sets[i]) <= 15)
+
+
+@pytest.mark.parametrize("size", [4, 10, 12, 15, 24])
+def test_small_sets_lose_no_pair(size):
+    rng = np.random.default_rng(size)
+    for _ in range(400):
+        shared = rng.integers(0, 1 << 62, size, np.uint64)
+        more = [rng.integers(0, 1 << 62, rng.integers(0, 1 + size // 3), np.uint64) for _ in range(2)]
+        a, b = (np.unique(np.concatenate((shared, x))) for x in more)
+        if len(shared) / (len(shared) + len(more[0]) + len(more[1])) < op4_jaccard.THRESHOLD or max(len(a), len(b)) > op4_jaccard.SMALL:
+            continue
+        row = np.repeat([0, 1], [len(a), len(b)])
+        owner, sig = op4_jaccard.signatures(row, np.concatenate((a, b)), 2, op4_jaccard.THRESHOLD)
+        assert set(sig[owner == 0]) & set(sig[owner == 1])
+
+
+def test_tiles_agree_with_plain_sets():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 32, 6000, np.uint64).astype(np.uint32)
+    sets = [np.unique(np.concatenate((base[rng.random(6000) < 0.9], rng.integers(0, 1 << 32, 50).astype(np.uint32)))) for _ in range(7)]
+    similar, jaccard = op4_jaccard.tile_links(np.array([1, 1, 2, 3, 4, 5, 6]), sets, np.arange(3), np.arange(2, 7), 0.6)
+    for i in range(3):
+        for j in range(2, 7):
+            exact = len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+            assert jaccard[i, j - 2] == pytest.approx(exact, abs=1e-6) and similar[i, j - 2] == (exact >= 0.6 and (i, j) != (2, 2))
+
+
 def test_groups_are_the_same_by_driver_and_by_joins(spark, near):
     key = lambda df: sorted((r["doc_id"], r["group_id"]) for r in df.collect())
     assert key(op4_jaccard.near_duplicates(frame(spark, near))) == key(op4_jaccard.near_duplicates(frame(spark, near), driver_edges=0))
