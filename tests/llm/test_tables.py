@@ -134,6 +134,16 @@ def test_resharding_keeps_every_row_and_meets_capacities(spark):
     assert max(load.values()) <= total / 4 * (1 + op3_shard.SLACK) * 1.03
 
 
+def test_one_large_shard_fills_a_hundred(spark):
+    rows = [(i, "t" * (100 + i % 7), "only") for i in range(20_000)]
+    total = sum(len(t) for _, t, _ in rows)
+    out = op3_shard.resharded(shards(spark, rows), shard_bytes=-(-total // 100))
+    load = {r[0]: r[1] for r in out.groupBy("new_shard").sum().select("new_shard", "sum(block)").collect()}
+    sizes = {r[0]: r[1] for r in out.selectExpr("new_shard", "length(text) AS n").groupBy("new_shard").sum("n").collect()}
+    assert len(load) >= 96 and sum(sizes.values()) == total
+    assert max(sizes.values()) <= (total / 100 * (1 + op3_shard.SLACK) + 1) * (1 + 2 / op3_shard.FINE) + 600  # a block of a few documents
+
+
 def test_rewrite_round_trip(spark, tmp_path):
     manifest, rows = {}, []
     for s, n in (("a", 900), ("b", 100), ("c", 500)):
