@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,12 @@ HIDDEN = frozenset("head script style noscript template svg title meta link".spl
 BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
 _CLOSED_BY = {"p": BLOCK - {"br", "html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 TAGS = {t: i + 1 for i, t in enumerate("#text p div span a li ul ol nav header footer aside article section main h1 h2 h3 h4 b i em strong table tr td th form button img br body html blockquote pre code figure".split())}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: For tags after one with a quote that nothing closes: they end at the next >.
+_OPEN_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: Buckets of the attribute tokens.
+TOKENS = 24
+_SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _GOOD = re.compile(r"article|content|main|post|body|text|entry|story", re.I)
 _BAD = re.compile(r"(?:^|[^a-z])ads?(?:[^a-z]|$)|banner|nav|menu|foot|head|side|comment|share|social|related|promo|cookie|sponsor", re.I)
@@ -48,36 +54,58 @@ class Dom:
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.text, self.end, self.good, self.bad, self.attrs = [-1], ["#root"], [""], [0], [False], [False], [0]
         open_now, at, size = [0], 0, len(source)
-        find = _TOKEN.search
-        while at < size:
-            m = find(source, at)
-            stop = m.start() if m else size
-            if stop > at:
-                piece = source[at:stop]
-                if not piece.isspace():
-                    self._node(open_now[-1], "#text", piece, "")
-            if not m:
+        last = source.rfind(">") + 1  # no tag ends after it
+        opens, pattern = {}, _OPEN
+        start = 0
+        while at < last:
+            at = source.find("<", at)
+            if at < 0 or at >= last:
                 break
-            at = m.end()
-            name = m[2]
-            if not name:
+            follows = source[at + 1 : at + 2]
+            if follows in ("!", "?"):
+                self._text(open_now[-1], source[start:at])
+                if source.startswith("<!--", at):
+                    end = source.find("-->", at + 4)
+                    start = at = end + 3 if end >= 0 else size
+                else:
+                    start = at = source.index(">", at) + 1
                 continue
-            name = name.lower()
+            if follows != "/" and not follows.isalpha():
+                at += 1
+                continue
+            m = pattern.match(source, at)
+            if m is None and pattern is _OPEN:
+                m = _OPEN_LOOSE.match(source, at)
+                if m:
+                    pattern = _OPEN_LOOSE
+            if m is None:
+                at += 1
+                continue
+            self._text(open_now[-1], source[start:at])
+            start = at = m.end()
+            name = m[2].lower()
             if m[1]:
-                for i in range(len(open_now) - 1, 0, -1):
-                    if self.tag[open_now[i]] == name:
-                        self._close(open_now, i)
-                        break
+                if opens.get(name):
+                    i = len(open_now) - 1
+                    while self.tag[open_now[i]] != name:
+                        i -= 1
+                    self._close(open_now, i, opens)
                 continue
             while len(open_now) > 1 and name in _CLOSED_BY.get(self.tag[open_now[-1]], ()):
-                self._close(open_now, len(open_now) - 1)
+                self._close(open_now, len(open_now) - 1, opens)
             node = self._node(open_now[-1], name, "", m[3])
             if name in ("script", "style"):
                 close = re.compile(f"</{name}[^>]*>", re.I).search(source, at)
-                at = close.end() if close else size
+                start = at = close.end() if close else size
             elif name not in VOID and not m[3].endswith("/"):
                 open_now.append(node)
-        self._close(open_now, 0)
+                opens[name] = opens.get(name, 0) + 1
+        self._text(open_now[-1], source[start:])
+        self._close(open_now, 0, opens)
+
+    def _text(self, parent: int, piece: str) -> None:
+        if piece and not piece.isspace():
+            self._node(parent, "#text", piece, "")
 
     def _node(self, parent: int, tag: str, text: str, attributes: str) -> int:
         number = len(self.tag)
@@ -86,24 +114,27 @@ class Dom:
         self.text.append(text)
         self.end.append(number + 1)
         good = bad = False
-        bucket = 0
+        tokens = 0
         if attributes and (found := _ATTRIBUTE.findall(attributes)):
             words = " ".join(x for group in found for x in group if x)
             good, bad = bool(_GOOD.search(words)), bool(_BAD.search(words))
-            bucket = 1 + sum(words.encode()) % 30
+            for token in set(_SPLIT.findall(words)):
+                tokens |= 1 << crc32(token.lower().encode()) % TOKENS
         self.good.append(good)
         self.bad.append(bad)
-        self.attrs.append(bucket)
+        self.attrs.append(tokens)
         return number
 
-    def _close(self, open_now: list[int], until: int) -> None:
+    def _close(self, open_now: list[int], until: int, opens: dict[str, int]) -> None:
         for node in open_now[until:]:
             self.end[node] = len(self.tag)
+            if node:
+                opens[self.tag[node]] -= 1
         del open_now[until:]
 
 
 _FOREIGN = re.compile(r"[^\x00-\x7f]")
-FEATURES = "tag attrs depth good bad good_above bad_above text words link_share elements density punctuation digits sibling siblings parent_share before after position is_text longest_below hidden".split()
+FEATURES = ["tag", *(f"token_{i}" for i in range(TOKENS)), *"depth good bad good_above bad_above text words link_share elements density punctuation digits sibling siblings parent_share before after position is_text longest_below hidden".split()]
 
 
 def _digits(text: str) -> int:
@@ -176,7 +207,7 @@ def features(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     leaf = np.flatnonzero(is_text)
     np.maximum.at(longest, parent[leaf], visible[leaf])
     x = np.column_stack((
-        tag, flags[2], depth, flags[0], flags[1], inherited(flags[0] > 0), inherited(flags[1] > 0), np.log1p(text), np.log1p(words), linked / np.maximum(text, 1),
+        tag, flags[2][:, None] >> np.arange(TOKENS) & 1, depth, flags[0], flags[1], inherited(flags[0] > 0), inherited(flags[1] > 0), np.log1p(text), np.log1p(words), linked / np.maximum(text, 1),
         np.log1p(elements), text / (elements + 1), marks / np.maximum(words, 1), digits / np.maximum(text, 1), sibling, np.log1p(siblings), text / np.maximum(text[parent], 1),
         np.log1p(before), np.log1p(after), (running - running[starts[:-1]][page]) / page_text[page], is_text, np.log1p(longest), below_hidden,
     )).astype(np.float32)
@@ -335,8 +366,9 @@ def _extracting(model: Boosted, pages_at_once: int = 200):
 def extracted(pages: DataFrame, model: Boosted, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text, nodes, kept) for every row, repeated and null ids included.
 
-    A null page gives a null text, an empty one or one without visible text an empty text.  Unclosed and stray tags are
-    put up with as browsers do; entities are resolved and white space is squeezed.  A model without training pages keeps
+    A null page gives a null text, an empty one or one without visible text an empty text.  Very long pages are parsed
+    whole, in linear time.  Unclosed and stray tags are put up with; of nodes with equal scores all are treated alike.
+    Entities are resolved and white space is squeezed.  A model without training pages keeps
     nothing.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     small_batches(pages.sparkSession)

@@ -1,5 +1,7 @@
 """Language identification (8) and HTML extraction (6) on held-out rows, and the pipeline against its stages' decisions."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -134,3 +136,17 @@ def test_digits_count_wherever_they_stand_in_a_text():
     pages = ["<p>" + t + "</p>" for t in ("1234567 " + "é word " * 100, "é word " * 100 + "1234567 ", "é word " * 100 + "12345²٧ ")]
     shares = [op6_html.features([op6_html.Dom(p)])[0][:, column].max() for p in pages]
     assert shares[0] > 0 and shares[1] == pytest.approx(shares[0]) and shares[2] == pytest.approx(shares[0])
+
+
+@pytest.mark.parametrize("page", ['<a b="x ' * 60_000, "<div>" * 60_000 + "</q>" * 60_000, "<!" * 60_000, "<" * 120_000 + ">", "<p>x" * 60_000, "<!--" * 60_000, "<script>" * 30_000], ids=range(7))
+def test_hostile_pages_are_parsed_in_linear_time(page):
+    began = time.perf_counter()
+    dom = op6_html.Dom(page + "<p>the end</p>")
+    op6_html.features([dom])
+    assert time.perf_counter() - began < 10 and len(dom.tag) == len(dom.end)
+
+
+def test_attribute_tokens_are_features():
+    x, _, _ = op6_html.features([op6_html.Dom('<div class="mainArticle wide-2">a</div><div>b</div>')])
+    tokens = x[:, [op6_html.FEATURES.index(f"token_{i}") for i in range(op6_html.TOKENS)]]
+    assert 3 <= tokens[1].sum() <= 4 and not tokens[3].any() and x.shape[1] == len(op6_html.FEATURES)
