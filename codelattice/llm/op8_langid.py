@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from codelattice.llm.common import released, small_batches
 from codelattice.llm.textvec import buffer_of, column, slices
 
-HIDDEN, STRETCH = 8, 64
+#: Bytes that are labelled at once, and those before and behind them that both directions read first.
+HIDDEN, STRETCH, CONTEXT = 8, 64, 8
 #: Bounds of the training sample.
 PER_LANGUAGE, STRETCHES = 200, 24
 STEPS, BATCH, RATE, SEED = 500, 128, 0.02, 7
@@ -156,12 +157,13 @@ class Network:
             return out
         owner = np.repeat(np.arange(len(sizes)), stretches)
         within = np.arange(total) - np.repeat(np.cumsum(stretches) - stretches, stretches)
-        start = offsets[:-1][owner] + within * STRETCH
-        length = np.minimum(STRETCH, offsets[1:][owner] - 1 - start)
-        padded = np.concatenate((data, np.zeros(STRETCH, np.uint8)))
-        block = np.lib.stride_tricks.sliding_window_view(padded, STRETCH)[start].copy()
-        live = np.arange(STRETCH) < length[:, None]
-        block[~live] = 0
+        wide = np.arange(STRETCH + 2 * CONTEXT)
+        place = within[:, None] * STRETCH - CONTEXT + wide
+        inside = (place >= 0) & (place < sizes[owner][:, None])
+        live = inside & (wide >= CONTEXT) & (wide < CONTEXT + STRETCH)
+        padded = np.concatenate((np.zeros(CONTEXT, np.uint8), data, np.zeros(len(wide), np.uint8)))
+        block = np.lib.stride_tricks.sliding_window_view(padded, len(wide))[offsets[:-1][owner] + within * STRETCH].copy()
+        block[~inside] = 0
         p = self.probabilities(np.ascontiguousarray(block.T))
         p *= live.T
         sums = p.sum(1).T
@@ -212,7 +214,8 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
 
     ``predicted`` is null where the document is rejected: its text is null, empty or without letters, or no language
     has a mean probability of ``LEAST``.  Rows with a null id are labelled too; rows with a null language are only left
-    out of the training.  Without a labelled row every document is rejected.  Other columns are ignored.
+    out of the training.  Without a labelled row every document is rejected.  Texts are read whole, however long; of
+    equally probable languages the first by name is taken.  Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     network = network or train(docs, id_col, text_col, lang_col)
