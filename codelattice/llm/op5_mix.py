@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import cut, unused
+from codelattice.llm.common import cut, unused, written
 
 TOPICS = {"legal": "(?i)licen[cs]ed? |copyright|rights reserved", "tabular": " \\| ", "technical": "https?://|@[a-z]|[0-9]+[.][0-9]+", "shouted": "!!|[$]{3}|%{3}|&{3}"}
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
@@ -96,8 +96,12 @@ def _celled(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
 
 def weights(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(source, lang, topic, probability) of each cell."""
-    spark, targets = docs.sparkSession, targets or {}
-    cells = cut(_celled(docs, id_col, text_col, source_col, lang_col).groupBy(*_DIMS).agg(F.sum("tokens").alias("weight")))
+    return _weights(_celled(docs, id_col, text_col, source_col, lang_col), targets, rounds, driver_cells)
+
+
+def _weights(celled: DataFrame, targets: dict[str, dict[str, float]] | None, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    spark, targets = celled.sparkSession, targets or {}
+    cells = cut(celled.groupBy(*_DIMS).agg(F.sum("tokens").alias("weight")))
     margins = {d: {r[0]: float(r[1]) for r in cells.groupBy(d).agg(F.sum("weight")).collect()} for d in _DIMS}
     if not sum(margins["topic"].values()):  # no tokens at all: nothing to weigh
         return cells.select(*_DIMS, F.lit(1.0).alias("probability"))
@@ -121,8 +125,8 @@ def sampling(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None
     for a value that the corpus lacks is shared out among the others; a value without a target, where targets are given,
     is left out.  An empty table gives no rows.  Other columns are ignored.
     """
-    celled = _celled(docs, id_col, text_col, source_col, lang_col)
-    joined = celled.join(weights(docs, targets, id_col, text_col, source_col, lang_col, **how), _DIMS)
+    celled = written(_celled(docs, id_col, text_col, source_col, lang_col), "op5-celled")  # texts are read once
+    joined = celled.join(_weights(celled, targets, **how), _DIMS)
     return joined.select("doc_id", *_DIMS, "tokens", F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.round("probability", 6)).alias("taken"))
 
 
