@@ -15,6 +15,7 @@ from codelattice.cypher.parser import parse
 from codelattice.cypher.planner import Planner
 from codelattice.cypher.schema import CAPABILITIES
 from codelattice.cypher.validator import validate
+from codelattice.lineage import cut
 from codelattice.model import Graph
 
 #: What a query may take beyond its time before it is cancelled without a result.
@@ -53,17 +54,17 @@ def run(graph: Graph, text: str, bounds: Bounds = Bounds(), capabilities: frozen
     until, stopped = clock() + bounds.timeout_ms / 1000, None
 
     def cap(bound: DataFrame) -> DataFrame:
+        """The first bindings in order of their ids, computed once; no more than the cap and one are kept."""
         nonlocal stopped
-        if bound.limit(bounds.max_expansions + 1).count() > bounds.max_expansions:
-            stopped = "expansion_cap"
-            return bound.limit(bounds.max_expansions)
-        return bound
-
-    planner = Planner(graph, query, cap)
-    out = planner.result(planner.where(planner.match()))
-    if query.skip:
-        out = out.offset(query.skip)
+        ids = sorted(c for c in bound.columns if c.endswith("__id") and "__p__" not in c)
+        few = cut(bound.orderBy(*ids).limit(bounds.max_expansions + 1))
+        if few.count() <= bounds.max_expansions:
+            return few
+        stopped = "expansion_cap"
+        return few.orderBy(*ids).limit(bounds.max_expansions)
+
     limit = bounds.max_rows if query.limit is None else min(query.limit, bounds.max_rows)
+    columns = tuple(i.column for i in query.items)
     tag = f"bounded-{threading.get_ident()}-{time.monotonic_ns()}"
     cancel = threading.Timer(max(0.0, until - clock()) + GRACE_S, spark.interruptTag, [tag])
     rows: list[tuple] = []
@@ -72,7 +73,13 @@ def run(graph: Graph, text: str, bounds: Bounds = Bounds(), capabilities: frozen
     cancel.start()
     try:
         if clock() >= until:
-            return Result(tuple(out.columns), (), True, "timeout")
+            return Result(columns, (), True, "timeout")
+        planner = Planner(graph, query, cap)
+        out = planner.result(planner.where(planner.match()))
+        if query.skip:
+            out = out.offset(query.skip)
+        if clock() >= until:
+            return Result(columns, (), True, "timeout")
         for row in out.limit(limit + 1).toLocalIterator():
             rows.append(tuple(row))
             if clock() >= until:
@@ -86,7 +93,7 @@ def run(graph: Graph, text: str, bounds: Bounds = Bounds(), capabilities: frozen
         cancel.cancel()
         spark.removeTag(tag)
     reason = stopped or ("row_cap" if len(rows) > limit else None)
-    return Result(tuple(out.columns), tuple(rows[:limit]), reason is not None, reason)
+    return Result(columns, tuple(rows[:limit]), reason is not None, reason)
 
 
 def as_table(result: Result) -> str:

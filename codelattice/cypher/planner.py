@@ -113,7 +113,7 @@ class Planner:
         layers = []
         for depth in range(1, rel.most + 1):
             reached = frontier.withColumnRenamed("to", "mid").join(hops, "mid").select("from", F.col("next").alias("to")).distinct()
-            if rel.most >= LONG_PATH:
+            if depth > 1 or rel.most >= LONG_PATH:
                 reached = cut(reached)
             if depth >= rel.least:
                 layers.append(reached)
@@ -196,7 +196,7 @@ class Planner:
         if isinstance(e, ast.Exists):
             keys = self._keys(e.path, bound)
             if not keys:
-                return bound, F.lit(self.path(e.path, carried=False).limit(1).count() > 0)
+                return bound, self.path(e.path, carried=False).select(F.lit(1)).limit(1).agg((F.count(F.lit(1)) > 0).alias("some")).scalar()
             flag = f"flag__{len(bound.columns)}"
             return bound.join(self._existing(e.path, keys).withColumn(flag, F.lit(True)), keys, "left"), F.coalesce(F.col(flag), F.lit(False))
         column, kind = F.col(_column(e.left.var, e.left.path)), _kind(e.left.path)

@@ -87,7 +87,7 @@ def judged(candidates: DataFrame, judge: Judge, floor: float = FLOOR, budget: fl
 
 def tag_edges(tags: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
     """PatternTag nodes and TAGGED edges of judged tags, as rows of the graph's tables."""
-    tag_id = F.concat(F.lit("ckg pattern taxonomy v1 "), F.col("pattern"), F.lit("#"))
+    tag_id = F.concat(F.lit("lat pattern taxonomy v1 "), F.col("pattern"), F.lit("#"))
     provenance = [F.lit("llm").alias("prov_source"), F.lit(model).alias("prov_extractor"), F.lit("").alias("prov_commit"), F.col("confidence").alias("prov_confidence"), F.lit("").alias("origin_path")]
     nodes = tags.groupBy("pattern").agg(F.max("confidence").alias("confidence")).select(tag_id.alias("id"), F.lit("PatternTag").alias("kind"), F.col("pattern").alias("name"), F.lit(None).cast("long").alias("span_start"), F.lit(None).cast("long").alias("span_end"), F.lit("{}").alias("attrs"), F.lit("v1").alias("sym_path"), *provenance)
     edges = tags.select(F.col("id").alias("src"), tag_id.alias("dst"), F.lit("TAGGED").alias("kind"), F.lit("{}").alias("attrs"), *provenance, F.lit("").alias("resolved_from"))
@@ -107,6 +107,52 @@ def summaries(files: DataFrame, summarize: Callable[[pd.Series], pd.Series], rep
     return low.withColumn("level", F.lit("file")).union(high.withColumn("level", F.lit("repository")))
 
 
+def summary_rows(made: DataFrame, graph, repo: str, model: str) -> tuple[DataFrame, DataFrame]:
+    """Summary nodes and SUMMARIZES edges of ``summaries``, as rows of the graph's tables; the repository's own is about its Repository node, if there is one."""
+    from codelattice.extract.rows import SCHEME, shaped
+    from codelattice.functions.text import escaped
+    from codelattice.model import EDGES, NODES
+
+    node = F.concat_ws(" ", F.lit(SCHEME), F.lit("summary"), F.lit(repo), escaped(F.col("path")), F.concat("level", F.lit(".")))
+    rows = made.withColumn("id", node)
+    prov = {"prov_source": F.lit("llm"), "prov_extractor": F.lit(model), "prov_commit": F.lit(""), "prov_confidence": F.lit(1.0), "origin_path": F.lit("")}
+    attrs = F.to_json(F.struct("level", "path", F.col("summary").alias("text")))
+    nodes = shaped(rows, NODES, kind=F.lit("Summary"), name=F.col("path"), span_start=F.lit(None), span_end=F.lit(None), attrs=attrs, sym_path=F.col("path"), **prov)
+    targets = graph.nodes.where("kind in ('File', 'Repository')").select(F.when(F.col("kind") == "File", F.col("sym_path")).otherwise(F.lit(repo)).alias("path"), F.col("id").alias("dst"))
+    edges = shaped(rows.select(F.col("id").alias("src"), "path").join(targets, "path").select("src", "dst"), EDGES, kind=F.lit("SUMMARIZES"), attrs=F.lit("{}"), resolved_from=F.lit(""), **prov)
+    return nodes, edges
+
+
+def scripted_summarizer(words: int = 12) -> Callable[[pd.Series], pd.Series]:
+    """A summariser without a model: the first words."""
+    return lambda texts: texts.fillna("").map(lambda t: " ".join(t.split()[:words]))
+
+
+def scripted_matcher(table: dict[tuple[str, str], float], cost: float = 0.0) -> Judge:
+    """A matcher without a model: a confidence for each (id, target)."""
+    return lambda frame: frame.assign(confidence=[table.get(k, 0.0) for k in zip(frame["id"], frame["target"], strict=True)], cost=cost)
+
+
+def inferred_governs(decisions: DataFrame, candidates: DataFrame, matcher: Judge, floor: float = FLOOR) -> DataFrame:
+    """(id, target, confidence, cost) of decisions (id) with the candidates (id) that a matcher says they govern.
+
+    Candidates are few (``first_candidates``), so each decision carries all of them as one array.
+    """
+    every = candidates.agg(F.array_sort(F.collect_list("id")).alias("targets"))
+    pairs = decisions.select("id").join(every, F.lit(True)).select("id", F.explode("targets").alias("target"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield matcher(frame)
+
+    return pairs.mapInPandas(run, "id string, target string, confidence double, cost double").where(F.col("confidence") >= floor)
+
+
+def candidate_batches(candidates: DataFrame, size: int = BATCH) -> DataFrame:
+    """``candidates`` (id) with ``batch``: numbers of batches in order of id."""
+    return candidates.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / size))
+
+
 def ungoverned(decisions: DataFrame, edges: DataFrame) -> DataFrame:
     """Decisions (id) of which no GOVERNS edge was read from their text, so that a model may infer some."""
     known = edges.where("kind = 'GOVERNS' and prov_source <> 'llm'").select(F.col("src").alias("id"))

@@ -35,7 +35,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = No
     ends = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0")
     ends = ends.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     share = ends.join(ends.groupBy("src").agg(F.sum("weight").alias("out")), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
-    share = cut(share.repartition("src"))
+    share = cut(share.repartition("src"), partitioned=True)
     teleport = ids.withColumn("mass", F.lit(1.0)) if personal is None else ids.join(personal.groupBy("id").agg(F.sum("mass").alias("mass")), "id", "left").fillna(0.0, ["mass"])
     total = teleport.agg(F.sum("mass")).first()[0]
     if not total:
@@ -48,7 +48,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = No
         after = ranks.join(came, "id", "left").crossJoin(F.broadcast(lost)).select(  # one row
             "id", "mass", "goes_on", ((1 - damping) * F.col("mass") + damping * (F.coalesce("came", F.lit(0.0)) + F.col("lost") * F.col("mass"))).alias("rank"), F.col("rank").alias("before")
         )
-        after = cut(after)
+        after = cut(after, partitioned=True)
         ranks = after.drop("before")
         if iterations is None and (after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0) < tolerance:
             break
@@ -67,16 +67,17 @@ def expand_scored(graph: Graph, seeds: DataFrame, depth: int, kinds: Iterable[st
     """
     edges = graph.edges.where(F.lit(True) if kinds is None else F.col("kind").isin(*kinds))
     weight = edge_weight(F.col("prov_source"))
-    sides = [edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", weight.alias("w"), F.lit(0).alias("side")), edges.select(F.col("dst").alias("from"), F.col("src").alias("to"), "kind", weight.alias("w"), F.lit(1).alias("side"))]
+    sides = [edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", weight.alias("w")), edges.select(F.col("dst").alias("from"), F.col("src").alias("to"), "kind", weight.alias("w"))]
     steps = reduce(DataFrame.union, sides if direction == "both" else sides[:1] if direction == "out" else sides[1:])
-    best = steps.groupBy("from", "to", "kind").agg(F.max("w").alias("w"))
     order = Window.partitionBy("from").orderBy("kind", "to")
-    best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fan_out).drop("n")
-    frontier = seeds.groupBy("id").agg(F.max("score").alias("score")).withColumn("depth", F.lit(0))
-    seen = frontier
+    frontier = seen = seeds.groupBy("id").agg(F.max("score").alias("score")).withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        reached = frontier.withColumnRenamed("id", "from").join(best, "from").groupBy(F.col("to").alias("id")).agg(F.max(F.col("score") * decay * F.col("w")).alias("score"))
+        near = steps.join(frontier.select(F.col("id").alias("from"), "score"), "from")  # only edges at the frontier are ranked
+        first = near.groupBy("from", "to", "kind").agg(F.max("w").alias("w"), F.first("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= fan_out)
+        reached = first.groupBy(F.col("to").alias("id")).agg(F.max(F.col("score") * decay * F.col("w")).alias("score"))
         frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        if depth > 1:
+            frontier = cut(frontier)  # else each hop would hold the plan of all before it twice
         seen = seen.union(frontier)
     return seen
 
@@ -97,6 +98,8 @@ def edges_within(graph: Graph, ids: DataFrame | Iterable[str], depth: int, kinds
         back = edges.join(frontier.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind")
         crossed.append(found := out.union(back).distinct())
         frontier = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(seen, "id", "left_anti")
+        if depth > 1:
+            frontier = cut(frontier)
         seen = seen.union(frontier)
     return reduce(DataFrame.union, crossed).distinct()
 

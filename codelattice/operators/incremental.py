@@ -46,9 +46,10 @@ def dirty_after(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return s.union(out).union(back).distinct()
 
 
-def mark_dirty(dirty: DataFrame, ids: DataFrame, consumers: DataFrame) -> DataFrame:
-    """The dirty table (consumer, id) with ``ids`` for each of the few ``consumers``."""
-    return dirty.unionByName(ids.select("id").join(F.broadcast(consumers.select("consumer")), how="cross").select("consumer", "id")).distinct()
+def mark_dirty(dirty: DataFrame, ids: DataFrame, consumers: list[str]) -> DataFrame:
+    """The dirty table (consumer, id) with ``ids`` for each of the consumers."""
+    each = F.explode(F.array(*map(F.lit, consumers))).alias("consumer")
+    return dirty.unionByName(ids.select(each, "id")).distinct()
 
 
 def mark_clean(dirty: DataFrame, consumer: str, ids: DataFrame) -> DataFrame:

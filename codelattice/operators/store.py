@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codelattice.lineage import cut
 from codelattice.model import EDGES, NODES, STORE_FLOOR, Graph
 
 
@@ -105,6 +106,8 @@ def neighbors(graph: Graph, ids: DataFrame | Iterable[str], kinds: Iterable[str]
     for d in range(1, depth + 1):
         found = frontier.select("start", F.col("id").alias("from")).join(step, "from").select("start", F.col("to").alias("id")).distinct()
         frontier = found.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(d))
+        if depth > 1:
+            frontier = cut(frontier)
         seen = seen.union(frontier)
     return seen.where("depth > 0")
 
@@ -153,10 +156,11 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 class SnapshotStore:
-    """Graphs in numbered Parquet snapshots below a folder; a pointer file, replaced last, names the current one.
+    """Graphs in Parquet snapshots below a folder; numbered pointer files name them, and the highest number is current.
 
-    A write that is lost half-way leaves the pointer, and so every reader, where it was.  ``SCHEMA`` guards against
-    snapshots of another layout.
+    A pointer is written under another name and renamed to its number last, so readers always find a whole one: a write that is
+    lost half-way leaves them where they were, and of two writers at once the second fails.  Old snapshots stay for readers
+    that still hold them until ``vacuum``.  ``SCHEMA`` guards against snapshots of another layout.
     """
 
     SCHEMA = 1
@@ -170,10 +174,25 @@ class SnapshotStore:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        fs, pointers = self._fs(), self._path("pointers")
+        if not fs.exists(pointers):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(pointers)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def _pointer(self, number: int) -> dict:
+        stream = self._fs().open(self._path(f"pointers/{number:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
     def current(self) -> dict | None:
-        if not self._fs().exists(self._path("CURRENT.json")):
+        numbers = self._numbers()
+        if not numbers:
             return None
-        pointer = json.loads(self.spark.read.text(f"{self.folder}/CURRENT.json", wholetext=True).first()[0])
+        pointer = self._pointer(numbers[-1])
         if pointer["schema"] != self.SCHEMA:
             raise ValueError(f"the store has schema {pointer['schema']}, this engine {self.SCHEMA}: rebuild it")
         return pointer
@@ -185,16 +204,37 @@ class SnapshotStore:
         at = f"{self.folder}/{pointer['snapshot']}"
         return Graph(self.spark.read.schema(NODES).parquet(f"{at}/nodes").select(*NODES.names), self.spark.read.schema(EDGES).parquet(f"{at}/edges").select(*EDGES.names))
 
-    def write(self, graph: Graph, **meta: object) -> None:
-        """Nodes lie by kind, so a label's scan prunes; edges are clustered by kind and source."""
+    def table(self, name: str) -> DataFrame | None:
+        """A table that was written beside the graph; null without one."""
+        pointer = self.current()
+        if pointer is None or name not in pointer.get("tables", ()):
+            return None
+        return self.spark.read.parquet(f"{self.folder}/{pointer['snapshot']}/{name}")
+
+    def write(self, graph: Graph, tables: dict[str, DataFrame] | None = None, **meta: object) -> None:
+        """A new snapshot of the graph and of tables beside it.  Nodes lie by kind, so a label's scan prunes; edges are clustered by kind and source."""
         if self.read_only:
             raise PermissionError("the store was opened read-only")
+        number = (self._numbers() or [0])[-1] + 1
         snapshot = f"v-{uuid.uuid4().hex}"
         graph.nodes.select(*NODES.names).write.partitionBy("kind").parquet(f"{self.folder}/{snapshot}/nodes")
         graph.edges.select(*EDGES.names).sortWithinPartitions("kind", "src").write.partitionBy("kind").parquet(f"{self.folder}/{snapshot}/edges")
-        fs = self._fs()
-        out = fs.create(self._path("CURRENT.tmp"), True)
-        out.write(bytearray(json.dumps({"schema": self.SCHEMA, "snapshot": snapshot, **meta}).encode()))
+        for name, table in (tables or {}).items():
+            table.write.parquet(f"{self.folder}/{snapshot}/{name}")
+        fs, made = self._fs(), self._path(f"pointers/{snapshot}.tmp")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps(meta | {"schema": self.SCHEMA, "snapshot": snapshot, "tables": sorted(tables or {})}).encode()))
         out.close()
-        fs.delete(self._path("CURRENT.json"), False)
-        fs.rename(self._path("CURRENT.tmp"), self._path("CURRENT.json"))
+        target = self._path(f"pointers/{number:012d}.json")
+        if fs.exists(target) or not fs.rename(made, target):
+            fs.delete(made, False)
+            raise RuntimeError(f"another writer made snapshot {number}")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes all but the last ``keep`` snapshots; how many went."""
+        old, fs = self._numbers()[:-keep] if keep > 0 else [], self._fs()
+        for number in old:
+            snapshot = self._pointer(number)["snapshot"]
+            fs.delete(self._path(f"pointers/{number:012d}.json"), False)
+            fs.delete(self._path(snapshot), True)
+        return len(old)

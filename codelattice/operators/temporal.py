@@ -76,10 +76,18 @@ def prune(log: DataFrame, ts: int) -> DataFrame:
     return log.join(dead.select("symbol_id"), "symbol_id", "left_anti").select(*log.columns)
 
 
-def overlapping(hunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Hunks (path, start, length, ...) with the symbols (symbol_id, path, span_start, span_end) whose lines they meet; a hunk of no lines stands at one."""
-    end = F.col("start") + F.greatest(F.col("length"), F.lit(1)) - 1
-    return hunks.withColumn("end", end).join(spans, "path").where("start <= span_end and span_start <= end").drop("end")
+def overlapping(hunks: DataFrame, spans: DataFrame, bin_lines: int = 64) -> DataFrame:
+    """Hunks (path, start, length, ...) with the symbols (symbol_id, path, span_start, span_end) whose lines they meet; a hunk of no lines stands at one.
+
+    Both are put into bins of lines, so that a hot file is many keys and a hunk only meets spans near it; a pair counts in the
+    first bin that both have.
+    """
+    bins = lambda a, z: F.sequence(F.floor(a / bin_lines), F.floor(z / bin_lines))
+    ends = hunks.withColumn("end", F.col("start") + F.greatest(F.col("length"), F.lit(1)) - 1)
+    left = ends.withColumn("__bin", F.explode(bins(F.col("start"), F.col("end"))))
+    right = spans.where("span_start <= span_end").withColumn("__bin", F.explode(bins(F.col("span_start"), F.col("span_end"))))
+    both = left.join(right, ["path", "__bin"]).where("start <= span_end and span_start <= end")
+    return both.where(F.col("__bin") == F.floor(F.greatest("start", "span_start") / bin_lines)).drop("end", "__bin")
 
 
 def churn(touches: DataFrame, now: int, top: int = 3) -> DataFrame:
@@ -95,3 +103,18 @@ def churn(touches: DataFrame, now: int, top: int = 3) -> DataFrame:
     best = authors.withColumn("n", rank).where(F.col("n") <= top).groupBy("symbol_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "author", "commits"))), lambda a: F.struct(a["author"].alias("name"), a["commits"].alias("commits"))).alias("top_authors"))
     out = sums.join(best, "symbol_id")
     return out.select("symbol_id", "churn_30d", "churn_90d", "top_authors", F.col("f.commit_sha").alias("introduced_sha"), F.col("f.ts").alias("introduced_ts"), F.col("l.commit_sha").alias("last_changed_sha"), F.col("l.ts").alias("last_changed_ts"))
+
+
+def denormalised(graph, aggregates: DataFrame):
+    """The graph with churn, authors and dates of its symbols among their attributes."""
+    from codelattice.operators.store import set_attrs
+
+    names = ("churn_30d", "churn_90d", "introduced_sha", "introduced_ts", "last_changed_sha", "last_changed_ts", "top_authors")
+    return set_attrs(graph, aggregates.select(F.col("symbol_id").alias("id"), F.to_json(F.struct(*names)).alias("patch")))
+
+
+def seeded(log: DataFrame, symbols: DataFrame, commit_sha: str, ts: int) -> DataFrame:
+    """The log with an opening event for each symbol (id) that it doesn't know."""
+    new = symbols.select(F.col("id").alias("symbol_id")).distinct().join(log.select("symbol_id"), "symbol_id", "left_anti")
+    rows = new.select("symbol_id", F.lit("symbol").alias("entity"), F.lit("opened").alias("event"), F.lit(commit_sha).alias("commit_sha"), F.lit(ts).cast("long").alias("ts"), F.lit(None).cast("string").alias("ref"))
+    return record(log, rows)

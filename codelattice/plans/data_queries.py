@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions import text
-from codelattice.operators import federation, incremental, knowledge, retrieve, temporal
+from codelattice.operators import federation, incremental, knowledge, retrieve, temporal, verbs
 from codelattice.plans.registry import query
 from codelattice.plans.tables import read
+from codelattice.streaming import watch
 
 # Time -------------------------------------------------------------------------
 
@@ -100,12 +101,10 @@ def in_manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.changes(*_manifests(spark, sf_dir))
 
 
-_IMPORTS = "imp AS (SELECT DISTINCT l_orderkey % 97 AS path, l_partkey % 97 AS target FROM lineitem WHERE l_quantity = 1)"
-
-
-@query(f"WITH {_IMPORTS}, s0 AS (SELECT 5 AS path), s1 AS (SELECT path FROM imp WHERE target IN (FROM s0) UNION FROM s0), s2 AS (SELECT path FROM imp WHERE target IN (FROM s1) UNION FROM s1) SELECT path::BIGINT AS path FROM s2")
+@query("WITH imp AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS target FROM lineitem), s0 AS (SELECT 5 AS path), s1 AS (SELECT path FROM imp WHERE target IN (FROM s0) UNION FROM s0), s2 AS (SELECT path FROM imp WHERE target IN (FROM s1) UNION FROM s1) SELECT path::BIGINT AS path FROM s2")
 def in_scope_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imports = read(spark, sf_dir, "lineitem").where("l_quantity = 1").select((F.col("l_orderkey") % 97).alias("path"), (F.col("l_partkey") % 97).alias("target")).distinct()
+    """Two hops over all of lineitem: an order imports its parts, and a part's key is the key of an order too."""
+    imports = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("target"))
     return incremental.importers(spark.createDataFrame([(5,)], "path long"), imports, 2)
 
 
@@ -118,7 +117,7 @@ def in_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH d AS (SELECT c AS consumer, o_custkey AS k FROM orders, (VALUES ('embed'), ('enrich')) t(c)) SELECT consumer, CAST(k AS VARCHAR) AS id FROM d EXCEPT SELECT 'embed', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F'")
 def in_dirty_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), "o_orderstatus")
-    dirty = incremental.mark_dirty(spark.createDataFrame([], "consumer string, id string"), ids, spark.createDataFrame([("embed",), ("enrich",)], "consumer string"))
+    dirty = incremental.mark_dirty(spark.createDataFrame([], "consumer string, id string"), ids, ["embed", "enrich"])
     return incremental.mark_clean(dirty, "embed", ids.where("o_orderstatus = 'F'"))
 
 
@@ -137,11 +136,11 @@ def ag_doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins and windows --------------------------------------------------------------
 
 
-@query("WITH u AS (SELECT p_brand AS name, min(p_partkey) AS target FROM part WHERE p_size < 8 GROUP BY 1 HAVING count(*) = 1) SELECT p_partkey AS id, target FROM part JOIN u ON p_brand = name")
+@query("WITH u AS (SELECT p_brand || p_size || p_type AS name, min(p_partkey) AS target FROM part GROUP BY 1 HAVING count(*) = 1) SELECT p_partkey AS id, target FROM part JOIN u ON p_brand || p_size || p_type = name")
 def jn_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    names = part.where("p_size < 8").selectExpr("'Class' AS kind", "p_brand AS name", "p_partkey AS id")
-    return part.join(knowledge.unique_names(names).withColumnRenamed("name", "p_brand"), "p_brand").select(F.col("p_partkey").alias("id"), "target")
+    part = read(spark, sf_dir, "part").withColumn("name", F.concat("p_brand", F.col("p_size").cast("string"), "p_type"))
+    names = part.selectExpr("'Class' AS kind", "name", "p_partkey AS id")
+    return part.join(knowledge.unique_names(names), "name").select(F.col("p_partkey").alias("id"), "target")
 
 
 _CALLS = """calls AS (SELECT DISTINCT CAST(page_id % 3 AS VARCHAR) AS caller, 'GET' AS method, regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '[?#].*$', '') AS path FROM pages),
@@ -158,14 +157,13 @@ def fd_service_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH r AS (SELECT l_suppkey AS scope, l_partkey % 20 AS name, l_orderkey * 10 + l_linenumber AS place FROM lineitem) SELECT *, (row_number() OVER (PARTITION BY scope, name ORDER BY place)) - 1 AS overload FROM r")
 def wn_overload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("scope"), (F.col("l_partkey") % 20).alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
-    return rows.withColumn("overload", F.row_number().over(Window.partitionBy("scope", "name").orderBy("place")) - 1)
+    return verbs.overload_numbers(rows, ("scope", "name"), "place")
 
 
 @query("WITH c AS (SELECT o_custkey AS symbol, o_orderpriority AS author, count(*) AS n FROM orders GROUP BY ALL) SELECT symbol, author, n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, author) AS r FROM c) WHERE r <= 3")
 def wn_topk_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("author")).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("n"), "author"))
-    return counts.withColumn("r", rank).where("r <= 3").drop("r")
+    touches = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol_id"), F.col("o_orderpriority").alias("author"), F.col("o_orderkey").alias("commit_sha"))
+    return verbs.top_authors(touches).select(F.col("symbol_id").alias("symbol"), "author", F.col("commits").alias("n"))
 
 
 _TOKENS = r"CASE WHEN trim({0}, E' \t\n\r') = '' THEN 0 ELSE greatest(length({0}) // 4, len(regexp_split_to_array(trim({0}, E' \t\n\r'), '\s+')), 1) END"
@@ -180,10 +178,8 @@ def wn_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT user_id AS q, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_type = 'purchase' AS hit FROM events), f AS (SELECT q, min(rank) FILTER (hit) AS first FROM r GROUP BY q) SELECT round(avg(coalesce(1.0 / first, 0)), 6)::DOUBLE AS mrr, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS recall5 FROM f")
 def ag_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
-    ranked = read(spark, sf_dir, "events").select("user_id", rank.alias("rank"), (F.col("event_type") == "purchase").alias("hit"))
-    first = ranked.groupBy("user_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
-    return first.agg(F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)), 6).alias("recall5"))
+    hits = read(spark, sf_dir, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("id"), F.col("value").alias("score"), (F.col("event_type") == "purchase").alias("relevant"))
+    return verbs.reciprocal_ranks(hits).agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.when(F.col("place") <= 5, 1.0).otherwise(0.0)), 6).alias("recall5"))
 
 
 # Functions ------------------------------------------------------------------------
@@ -199,7 +195,7 @@ def fn_url_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.url_path(F.col("url")).alias("path"))
 
 
-@query("SELECT s_suppkey, 'ckg py re%20po src/' || s_name || '.py ' || replace(replace(s_name || '#', '%', '%25'), ' ', '%20') AS id, s_name || '.py' AS leaf FROM supplier")
+@query("SELECT s_suppkey, 'lat py re%20po src/' || s_name || '.py ' || replace(replace(s_name || '#', '%', '%25'), ' ', '%20') AS id, s_name || '.py' AS leaf FROM supplier")
 def fn_symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("s_name")
     made = text.symbol_id(F.lit("py"), F.lit("re po"), F.concat(F.lit("./src/"), name, F.lit(".py")), text.descriptor("type", name))
@@ -240,13 +236,11 @@ def kn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("sections"))
 
 
-@query(r"SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all('see `pkg.Mod#run` and src/a' || turn || '.py, ./lib/' || role || '.go ' || text, '([\w./-]+\.(?:c|cc|cpp|cs|cxx|go|h|hh|hpp|java|js|jsx|mjs|php|py|rb|rs|ts|tsx))\b', 1))) AS raw FROM conversations")
+@query(r"SELECT conv_id, turn, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all('see `pkg.Mod#run` and src/a' || turn || '.py, ./lib/' || role || '.go ' || text, '([\w./-]+\.(?:c|cc|cpp|cs|cxx|go|h|hh|hpp|java|js|jsx|mjs|php|py|rb|rs|ts|tsx))\b', 1), lambda p: regexp_replace(p, '^(\./)+|^/+', '')), lambda p: contains(p, '/')))) AS paths FROM conversations")
 def kn_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in the texts, each of which is given some to find."""
     whole = F.concat(F.lit("see `pkg.Mod#run` and src/a"), F.col("turn").cast("string"), F.lit(".py, ./lib/"), F.col("role"), F.lit(".go "), F.col("text"))
-    paths = knowledge.mentioned_paths(whole)
-    raw = F.transform(paths, lambda p: F.when(p.startswith("lib/"), F.concat(F.lit("./"), p)).otherwise(p))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(raw).alias("raw"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(knowledge.mentioned_paths(whole)).alias("paths"))
 
 
 # Stream twins -----------------------------------------------------------------------
@@ -256,12 +250,12 @@ def kn_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT user_id, min(t) // 1000000 AS start, max(t) // 1000000 AS last, count(*) AS n FROM s GROUP BY user_id, k""")
 def st_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of events an hour apart, as the idle trigger sees them."""
-    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = events.groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
-    return out.select("user_id", F.unix_timestamp("a").alias("start"), F.unix_timestamp("b").alias("last"), "n")
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("ts").cast("timestamp").alias("ts"))
+    out = watch.sessions(events, "1 hour")
+    return out.select(F.col("repo").alias("user_id"), F.unix_timestamp("opened").alias("start"), (F.unix_timestamp("closed") - 3600).alias("last"), F.col("events").alias("n"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01'))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("start"), "event_type", "n")
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("repo"), F.col("ts").cast("timestamp").alias("ts"))
+    return watch.ticks(events, "6 hours").select(F.unix_timestamp("opened").alias("start"), F.col("repo").alias("event_type"), F.col("events").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelattice.cypher.engine import plan
 from codelattice.model import Graph
-from codelattice.operators import graphs, retrieve, store, vectors
+from codelattice.operators import graphs, retrieve, store, vectors, verbs
 from codelattice.plans.registry import query
 from codelattice.plans.tables import ctes, graph, read
 
@@ -43,7 +43,7 @@ _cypher("cy_multi_pattern", "MATCH (n:Package)-[:CONTAINS]->(s:Service), (n)-[:C
 _cypher("cy_triangle", "MATCH (n:Package)-[:CONTAINS]->(s:Service)-[:IMPLEMENTS]->(i:Interface)<-[:CALLS]-(f:Function)<-[:CONTAINS]-(c:Class)<-[:CONTAINS]-(n) RETURN n.name AS nation, count(*) AS paths",
     "SELECT n.name AS nation, count(*) AS paths FROM nodes n JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'CONTAINS') e1 ON e1.src = n.id JOIN nodes s ON s.id = e1.dst AND s.kind = 'Service' JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'IMPLEMENTS') e2 ON e2.src = s.id JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'CALLS') e3 ON e3.dst = e2.dst JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'CONTAINS') e4 ON e4.dst = e3.src JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'CONTAINS') e5 ON e5.dst = e4.src AND e5.src = n.id WHERE n.kind = 'Package' GROUP BY n.name")
 _cypher("cy_exists", "MATCH (c:Class) WHERE (c)-[:CONTAINS]->(:Function) AND c.start_line > 5 RETURN c.name AS name", "SELECT name FROM nodes c WHERE kind = 'Class' AND span_start > 5 AND EXISTS (SELECT 1 FROM edges e JOIN nodes f ON f.id = e.dst WHERE e.src = c.id AND e.kind = 'CONTAINS' AND f.kind = 'Function')")
-_cypher("cy_not_exists", "MATCH (c:Class) WHERE NOT (c)-[:CONTAINS]->() RETURN c.name AS name", "SELECT name FROM nodes c WHERE kind = 'Class' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = c.id AND e.kind = 'CONTAINS')")
+_cypher("cy_not_exists", 'MATCH (c:Class) WHERE NOT (c)-[:CONTAINS]->(:Function {source: "llm"}) RETURN c.name AS name', "SELECT name FROM nodes c WHERE kind = 'Class' AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes f ON f.id = e.dst WHERE e.src = c.id AND e.kind = 'CONTAINS' AND f.kind = 'Function' AND f.prov_source = 'llm')")
 _cypher("cy_exists_or", 'MATCH (c:Class) WHERE NOT (c)-[:CONTAINS]->(:Function {source: "llm"}) OR c.start_line < 20 RETURN c.name AS name', "SELECT name FROM nodes c WHERE kind = 'Class' AND (span_start < 20 OR NOT EXISTS (SELECT 1 FROM edges e JOIN nodes f ON f.id = e.dst WHERE e.src = c.id AND e.kind = 'CONTAINS' AND f.kind = 'Function' AND f.prov_source = 'llm'))")
 _cypher("cy_agg_count", "MATCH (c:Class)-[:CONTAINS]->(f:Function) RETURN count(*) AS pairs, count(DISTINCT c) AS owners", f"SELECT count(*) AS pairs, count(DISTINCT a.id) AS owners FROM nodes a JOIN {_hop('CONTAINS')} WHERE a.kind = 'Class' AND b.kind = 'Function' HAVING count(*) > 0")
 _cypher("cy_agg_empty", 'MATCH (c:Class {name: "nobody"}) RETURN count(c) AS n', "SELECT count(*) AS n FROM nodes WHERE kind = 'Class' AND name = 'nobody' HAVING count(*) > 0")
@@ -154,17 +154,16 @@ def gs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {G} SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind")
 def ag_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
-    return g.nodes.groupBy(F.lit("node").alias("what"), "kind").agg(F.count("*").alias("n")).union(g.edges.groupBy(F.lit("edge").alias("what"), "kind").agg(F.count("*").alias("n")))
+    return verbs.kind_counts(graph(spark, sf_dir))
 
 
-@query(f"WITH {G} SELECT count(*) AS edges, count(*) FILTER (prov_source = 'resolved') AS resolved, count(*) FILTER (prov_source = 'llm') AS inferred, count(DISTINCT src) AS callers FROM edges WHERE kind = 'CALLS'")
+@query(f"WITH {G} SELECT (SELECT count(*) FROM nodes WHERE kind = 'File') AS files, (SELECT count(*) FROM nodes) AS nodes, CAST(0 AS BIGINT) AS external, count(*) AS edges, count(*) FILTER (prov_source = 'resolved') AS resolved, CAST(3 AS BIGINT) AS unresolved FROM edges")
 def ag_index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph(spark, sf_dir).edges.where("kind = 'CALLS'")
-    return edges.agg(F.count("*").alias("edges"), F.count_if(F.col("prov_source") == "resolved").alias("resolved"), F.count_if(F.col("prov_source") == "llm").alias("inferred"), F.count_distinct("src").alias("callers"))
+    stats = spark.createDataFrame([("refs_unresolved", 1), ("imports_external", 5), ("refs_unresolved", 2)], "what string, n long")
+    return verbs.index_report(graph(spark, sf_dir), stats)
 
 
-@query(f"WITH {G} SELECT src, dst, round(sum(CASE prov_source WHEN 'resolved' THEN 1.0 WHEN 'manual' THEN 0.8 WHEN 'llm' THEN 0.3 ELSE 0.5 END), 6) AS weight FROM edges WHERE kind = 'CALLS' GROUP BY src, dst")
+@query(f"WITH {G} SELECT src, dst, round(sum(CASE prov_source WHEN 'resolved' THEN 1.0::DOUBLE WHEN 'manual' THEN 0.8 WHEN 'llm' THEN 0.3 ELSE 0.5 END), 6) AS weight FROM edges WHERE kind = 'CALLS' GROUP BY src, dst")
 def ag_parallel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.weighted_edges(graph(spark, sf_dir), ("CALLS",)).groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
@@ -240,15 +239,11 @@ def ga_edges_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.edges_within(graph(spark, sf_dir), [_id("nation", 5)], 2, ("CONTAINS",))
 
 
-_LINKS = "SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount >= 0.09"
-
-
-@query(f"WITH RECURSIVE l AS MATERIALIZED ({_LINKS}), w AS (SELECT 0 AS n, 0 AS hop UNION SELECT b, hop + 1 FROM w JOIN l ON a = n WHERE hop < 30) SELECT CAST(n AS STRING) AS service, min(hop)::INTEGER AS hop FROM w WHERE n <> 0 GROUP BY n")
+@query("WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem), w AS (SELECT 5::BIGINT AS n, 0 AS hop UNION SELECT b, hop + 1 FROM w JOIN l ON a = n WHERE hop < 5) SELECT CAST(n AS STRING) AS service, min(hop)::INTEGER AS hop FROM w WHERE n <> 5 GROUP BY n")
 def ga_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, e = _trade(spark, sf_dir)
-    line, order, customer, supplier = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    some = line.where("l_quantity = 50 and l_discount >= 0.09").join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return graphs.trace(some.select(F.col("c_nationkey").cast("string").alias("caller"), F.col("s_nationkey").cast("string").alias("callee")), "0", most=30)
+    """Five hops downstream over all of lineitem: an order calls its parts, and a part's key is the key of an order too."""
+    links = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("caller"), F.col("l_partkey").cast("string").alias("callee"))
+    return graphs.trace(links, "5", most=5)
 
 
 @query(f"WITH RECURSIVE {G}, w AS (SELECT id AS start, id FROM nodes WHERE kind = 'Repository' UNION SELECT w.start, e.dst FROM w JOIN edges e ON e.src = w.id AND e.kind = 'CONTAINS') SELECT start, count(*) AS n FROM w WHERE id <> start GROUP BY start")
@@ -311,22 +306,20 @@ def rt_dedupe_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))) AS words, 1.0 / (1 + n_chars) AS base FROM documents),
- s AS (SELECT doc_id, base, len(list_filter(['reou', 'tion', 'est'], lambda w: list_contains(words, w))) / 3.0 AS overlap FROM t) SELECT doc_id, round(0.7 * base + 0.3 * overlap, 6)::DOUBLE AS score FROM s WHERE overlap > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+ s AS (SELECT doc_id, base, len(list_filter(['reou', 'tion', 'est'], lambda w: list_contains(words, w))) / 3.0 AS overlap FROM t) SELECT doc_id, round(0.7 * base + 0.3 * overlap, 6)::DOUBLE AS score FROM s ORDER BY score DESC, doc_id LIMIT 20""")
 def rt_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best documents for three plain words; they are single lower-case parts, so that words and subtokens coincide."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (1.0 / (1 + F.col("n_chars"))).alias("score"), "text")
-    words = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.lower)
-    overlap = F.size(F.array_intersect(F.array(F.lit("reou"), F.lit("tion"), F.lit("est")), words)) / 3.0
-    scored = docs.withColumn("overlap", overlap).where("overlap > 0").select(F.col("id").alias("doc_id"), F.round(0.7 * F.col("score") + 0.3 * F.col("overlap"), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(20)
+    ranked = retrieve.rerank_lexical(docs, "reou tion est", F.col("text")).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return ranked.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"""WITH {G}, {_V}, h AS (SELECT ref, score FROM s ORDER BY score DESC, ref LIMIT 5), m AS (SELECT CAST(regexp_extract(ref, '[0-9]+') AS BIGINT) % 150 AS k, score FROM h),
- sd AS (SELECT 'lat sql tables customer/' || CAST(k + 1 AS STRING) || ' customer#' AS id, max(score) AS score FROM m GROUP BY 1) SELECT n.id, round(sd.score, 5) AS score FROM sd JOIN nodes n ON n.id = sd.id""")
+ sd AS (SELECT 'lat sql tables customer/' || CAST(k + 1 AS STRING) || ' customer#' AS id, max(score) AS score FROM m GROUP BY 1), k AS (SELECT sd.* FROM sd JOIN nodes n ON n.id = sd.id), a AS (FROM k UNION ALL SELECT e.src, k.score FROM k JOIN edges e ON e.dst = k.id AND e.kind = 'CONTAINS') SELECT id, round(max(score), 5) AS score FROM a GROUP BY id""")
 def rt_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits joined to the nodes that they stand for; every vector stands for a customer."""
+    """Hits joined to the nodes that they stand for, and those that contain them; every vector stands for a customer."""
     g = graph(spark, sf_dir)
     hits = vectors.search(_vectors(spark, sf_dir), _first_vector(spark, sf_dir), 5)
     key = F.regexp_extract("ref", "[0-9]+", 0).cast("long") % 150 + 1
     named = hits.select(F.concat(F.lit("lat sql tables customer/"), key.cast("string"), F.lit(" customer#")).alias("ref"), F.round("score", 6).alias("score"))
-    return retrieve.seeds_of(Graph(g.nodes, g.edges.limit(0)), named).select("id", F.round("score", 5).alias("score"))
+    return retrieve.seeds_of(g, named).select("id", F.round("score", 5).alias("score"))

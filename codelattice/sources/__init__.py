@@ -1 +1 @@
-"""Readers of source trees, git and manifests."""
+"""Sources of a code graph: working trees, git objects and logs, dependency manifests, documents and workspaces."""
