@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from codelattice.codegraph import CodeGraph
-from codelattice.cypher import engine
+from codelattice.cypher import engine, errors
 from codelattice.operators import enrich
 
 MOST_ROWS = 1000
@@ -117,7 +117,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.appName("codelattice").getOrCreate()
     try:
         print(shown(answer(args, spark), args.json))
-    except (ValueError, KeyError, PermissionError, RuntimeError) as e:
+    except (errors.QueryError, ValueError, KeyError, PermissionError, RuntimeError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

@@ -143,7 +143,8 @@ class CodeGraph:
         log = self.events
         if not self.settings["temporal"]["enabled"]:
             return log
-        return temporal.record(log, incremental.lifecycle(before, after, commit or "working-tree", int(time.time())))
+        ts = int(git.git(self.root, "show", "-s", "--format=%ct", commit)) if commit else int(time.time())
+        return temporal.record(log, incremental.lifecycle(before, after, commit or "working-tree", ts))
 
     def _report(self, files: int, removed: int, stats: DataFrame, began: float) -> Report:
         counts = {f"{r['what']}:{r['kind']}": r["n"] for r in verbs.kind_counts(self.graph).collect()}

@@ -23,6 +23,10 @@ TRIVIAL_BASES = "ABC BaseException BaseModel Dict Enum Exception Generic IntEnum
 FLOOR, BATCH = 0.7, 6
 
 
+def _ending(ends: str) -> Callable[[Column], Column]:
+    return lambda b: b.rlike(f"(?i)({ends})$")
+
+
 def _names(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -36,7 +40,7 @@ def nominate(symbols: DataFrame, broad: bool = False) -> DataFrame:
         for pattern, ends in suffixes.items():
             tests[pattern].append(is_class & F.col("name").rlike(f"(?i)({ends})$"))
     for pattern, ends in ROLE_SUFFIXES.items():
-        tests[pattern].append(is_class & F.exists(bases, lambda b, ends=ends: b.rlike(f"(?i)({ends})$")))
+        tests[pattern].append(is_class & F.exists(bases, _ending(ends)))
     tests["Repository"].append(is_class & (F.size(F.array_intersect(lower, _names(CRUD))) >= (1 if broad else 2)))
     tests["Factory"] += [is_class & F.exists(lower, lambda m: m.rlike(FACTORY_VERB)), (F.col("kind") == "Function") & F.lower("name").rlike(FACTORY_VERB)]
     tests["Builder"].append(is_class & F.array_contains(lower, "build") & F.exists(lower, lambda m: m.rlike("^(with|set|add)_")))
