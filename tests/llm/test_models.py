@@ -150,3 +150,19 @@ def test_attribute_tokens_are_features():
     x, _, _ = op6_html.features([op6_html.Dom('<div class="mainArticle wide-2">a</div><div>b</div>')])
     tokens = x[:, [op6_html.FEATURES.index(f"token_{i}") for i in range(op6_html.TOKENS)]]
     assert 3 <= tokens[1].sum() <= 4 and not tokens[3].any() and x.shape[1] == len(op6_html.FEATURES)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, head long, new_shard string, __drop_id int"
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], 1, "x", 2) for r in base]
+    text = next(r["text"] for r in base if len(r["text"]) > 200)
+    odd = [(9001, None, "en", "s", 0, 1, "x", 2), (9002, "", "en", "s", 0, 1, "x", 2), (9003, text, None, None, 1, 1, "x", 2), (None, text + " more", "en", "s", 1, 1, "x", 2), (9004, " ".join([text] * 3000), "en", "s", 1, 1, "x", 2), (9005, "123 ... !!", "en", "s", 1, 1, "x", 2)]
+    for name, some in (("full", [*rows, *odd, rows[0], rows[0]]), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(folder / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        got = out.collect()
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "head", "__drop_id", "old_shard", "new_shard"]
+        assert not {r["doc_id"] for r in got} & {9001, 9002, 9005} and bool(got) == bool(some)
