@@ -103,6 +103,55 @@ def test_small_sets_lose_no_pair(size):
         assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
+@pytest.mark.parametrize("size", [26, 40, 80, 200, 600, 3000])
+def test_large_sets_lose_no_pair(size):
+    rng = np.random.default_rng(size)
+    counts = rng.integers(0, 5, 1 << op4_jaccard.CELLS).astype(np.uint16)
+    for k in range(200):
+        shared = rng.integers(0, 1 << 62, size, np.uint64) << np.uint64(2)
+        apart = int(size / op4_jaccard.THRESHOLD) - size  # as many as leave the pair just similar
+        first = [0, apart // 2, apart, int(rng.integers(0, apart + 1))][k % 4]
+        a, b = (np.unique(np.concatenate((shared, rng.integers(0, 1 << 62, m, np.uint64)))) for m in (first, apart - first))
+        row, sizes = np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)])
+        owner, sig = op4_jaccard.signatures(row, np.concatenate((a, b)), 2, op4_jaccard.THRESHOLD, counts)
+        assert set(sig[owner == 0]) & set(sig[owner == 1])
+        reach = sizes[owner] - np.concatenate([np.arange(n) for n in np.bincount(owner)])
+        order = np.argsort(sig, kind="stable")
+        kept, _ = op4_jaccard.mated(sig[order], owner[order], sizes[owner][order], reach[order], op4_jaccard.THRESHOLD)
+        assert {0, 1} <= set(owner[order][kept])
+        odd = op4_jaccard.parities(row, np.concatenate((a, b)), 2).to_pylist()
+        assert op4_jaccard.least_difference(*odd) <= apart
+
+
+def test_mated_keeps_every_row_of_a_possible_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        sig, ids, size = np.sort(rng.integers(0, 8, n)), rng.permutation(n), rng.integers(1, 60, n)
+        reach = rng.integers(np.ceil(0.6 * size - 1e-9).astype(int), size + 1)
+        kept, first = op4_jaccard.mated(sig, ids, size, reach, 0.6)
+        need = {i for i in range(n) for j in range(n) if i != j and sig[i] == sig[j] and min(size[i], size[j]) >= 0.6 * max(size[i], size[j]) and min(reach[i], reach[j]) >= 0.375 * (size[i] + size[j])}
+        assert need <= set(kept.tolist()) and all(sig[k] == sig[f] and ids[f] == min(ids[kept][sig[kept] == sig[k]]) for k, f in zip(kept, first, strict=True))
+
+
+def barely_similar(size, pairs):
+    """Two and two texts of ``size`` words that would not be similar with a few more words changed."""
+    rows = []
+    for k in range(pairs):
+        base, c = prose(size), (size - 2) // 4
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: size - c], *prose(c)]))]
+    return rows
+
+
+@pytest.mark.parametrize("size", [40, 90, 250])
+def test_every_pair_at_the_threshold_is_found(spark, size):
+    rows = barely_similar(size, 150)
+    pairs, _ = brute_components(rows, op4_jaccard.THRESHOLD)
+    got = {(r["doc_id"], r["links"], r["partner_id"]) for r in op4_jaccard.near_duplicates(frame(spark, rows)).collect()}
+    assert len(pairs) == 150 and min(pairs.values()) < 0.62
+    assert got == {(i, 1, j) for p in pairs for i, j in (p, p[::-1])}
+
+
 def test_tiles_agree_with_plain_sets():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 32, 6000, np.uint64).astype(np.uint32)
