@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from codelattice.llm import op4_jaccard, op7_decontaminate, op9_repeats
 
 SCHEMA = "doc_id long, text string, lang string, id long, hash string, size int, head long, a int, __drop_id long, sig array<int>"
@@ -152,6 +153,12 @@ def test_every_pair_at_the_threshold_is_found(spark, size):
     assert got == {(i, 1, j) for p in pairs for i, j in (p, p[::-1])}
 
 
+def test_pipeline_keeps_one_of_every_pair_at_the_threshold(spark):
+    rows = barely_similar(90, 200)
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 400, 2))
+
+
 def test_tiles_agree_with_plain_sets():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 32, 6000, np.uint64).astype(np.uint32)
