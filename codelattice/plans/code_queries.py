@@ -7,6 +7,7 @@ rows: it never looks at the text.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from codelattice.extract import stitches
 from codelattice.extract.packs import BY_SLUG
 from codelattice.extract.resolve import Resolver
 from codelattice.extract.rows import extracted, graph_of
+from codelattice.lineage import cut
 from codelattice.model import EDGES, NODES, Graph
 from codelattice.operators import verbs
 from codelattice.plans.registry import query
@@ -74,14 +76,21 @@ TEMPLATES = {
     ),
 }
 REPO = "gen"
+#: Files that one task makes and reads: some seconds of work.
+FILES_A_PART = 10_000
 
 
 def _files(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Each pair (path, text) for each customer."""
+    """Each pair (path, text) for each customer, in as many parts as there are files: the table itself may be one part.
+
+    The pairs are a relation to join, so the optimizer takes the files for as large as they are and broadcasts none of what follows from many.
+    """
     k = F.col("c_custkey").cast("string")
     keys = read(spark, sf_dir, "customer").select("c_custkey")
-    made = F.array(*(F.struct(F.replace(F.lit(p), F.lit("§"), k).alias("path"), F.replace(F.lit(t), F.lit("§"), k).alias("text")) for p, t in pairs))
-    return keys.select(F.explode(made).alias("f")).select("f.path", "f.text")
+    parts = -(-keys.count() * len(pairs) // FILES_A_PART)
+    templates = spark.createDataFrame(pa.table({"p": [p for p, _ in pairs], "t": [t for _, t in pairs]}))
+    made = keys.repartition(max(1, parts)).crossJoin(F.broadcast(templates))
+    return made.select(F.replace("p", F.lit("§"), k).alias("path"), F.replace("t", F.lit("§"), k).alias("text"))
 
 
 def _text(value: str) -> str:
@@ -243,8 +252,8 @@ _CHUNKS = [("k§.py", 0, 1, 3), ("k§.py", 1, 4, 4), ("k§.py", 2, 5, 6), ("k§.
 
 def _chunks(spark: SparkSession, sf_dir: str, most: int = 22) -> tuple[DataFrame, Graph]:
     files = _files(spark, sf_dir, _CHUNKED)
-    g = graph_of(extracted(files, REPO))
-    return chunking.chunked(files, g.nodes, REPO, most), g
+    g = graph_of(cut(extracted(files, REPO), packed=True))
+    return cut(chunking.chunked(files, g.nodes, REPO, most), packed=True), g
 
 
 @query(_rows(_CHUNKS, ("path", "seq", "span_start", "span_end"), ("seq", "span_start", "span_end")))
