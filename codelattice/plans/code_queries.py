@@ -205,7 +205,7 @@ _MODELS = [("m/m§.py", "class C§(Base):\n    __tablename__ = 't§'\n    id = C
 
 def _stitching(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]], packs: list[str], imports: list[tuple[str, str]] = ()) -> tuple[Graph, DataFrame]:
     """A graph of templates whose imports are given, so that only the stitch is tested."""
-    facts = extracted(_files(spark, sf_dir, pairs), REPO, packs)
+    facts = cut(extracted(_files(spark, sf_dir, pairs), REPO, packs), packed=True)
     g = graph_of(facts)
     if not imports:
         return g, facts
