@@ -135,6 +135,16 @@ def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXTERNAL = [("IMPORTS", "py§/a.py", "", "<external>", "os/")]
+def _beside(facts: DataFrame, node: dict[str, str], edge: dict[str, str]) -> DataFrame:
+    """The nodes among the facts, each with the edges that leave it or with nulls: columns of ``node`` and ``edge`` as in a left join on the id.
+
+    It shuffles the facts once, so that files are read once; a join of two parts of them would read all files for each.
+    """
+    of = lambda rel, columns: F.collect_list(F.when(F.col("rel") == rel, F.struct(*(F.col(c).alias(n) for n, c in columns.items()))))
+    both = facts.groupBy("id").agg(of("node", node).alias("n"), of("edge", edge).alias("e"))
+    return both.select("id", F.inline("n"), "e").select("id", *node, F.inline_outer("e"))
+
+
 
 
 @query(_rows([("Class" if "#" in parent else "File", files[f][0], parent, d) for files, symbols, _ in TEMPLATES.values() for f, _, d, *_ in symbols for parent in [d[: d.index("#") + 1] if "#" in d[:-1] else ""]], ("owner_kind", "path", "owner", "descriptor")))
@@ -190,9 +200,8 @@ def _framework(pack: str) -> None:
     @query(_rows([(path, kind, name, handler) for kind, name, handler in wanted], ("path", "kind", "name", "handler")), name=f"fw_{pack}")
     def framework_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         facts = extracted(_files(spark, sf_dir, [(path, text)]), REPO, [pack])
-        nodes = facts.where(f"rel = 'node' and extractor like 'pack:{pack}@%'").select("path", "kind", "name", "id")
-        handled = facts.where("rel = 'edge' and kind = 'HANDLED_BY'").select("id", _descriptor(F.col("dst")).alias("handler"))
-        return nodes.join(handled, "id", "left").select("path", "kind", "name", "handler")
+        both = facts.where(f"rel = 'node' and extractor like 'pack:{pack}@%' or rel = 'edge' and kind = 'HANDLED_BY'")
+        return _beside(both, {"path": "path", "kind": "kind", "name": "name"}, {"dst": "dst"}).select("path", "kind", "name", _descriptor(F.col("dst")).alias("handler"))
 
 
 for _pack in FRAMEWORKS:
