@@ -47,3 +47,24 @@ def test_a_ring_is_walked_from_both_ends(graph):
     first, back = Planner._halves(parse(AROUND + " RETURN count(*) AS n").match[0])
     assert [n.var for n in first.nodes] == ["p", "s", "i"] and [n.var for n in back.nodes] == ["p", "c", "f", None]
     assert Planner._halves(parse("MATCH (a)-[:CALLS]->(b)-[:CALLS*1..2]->(c)-[:CALLS]->(a) RETURN count(*) AS n").match[0]) is None
+
+
+APART = "MATCH (p:Package)-[:CONTAINS]->(s:Service), (p)-[:CONTAINS]->(c:Class)"
+PRODUCT = [(p, s, c) for p in NAMES if p[0] == "p" for s in of(p, "CONTAINS", "s") for c in of(p, "CONTAINS", "c")]
+
+
+def test_distinct_aggregates_of_several_patterns(graph):
+    ids = sorted({p for p, _, _ in PRODUCT})
+    distinct = lambda at, p, keep=lambda r: True: len({r[at] for r in PRODUCT if r[0] == p and keep(r)})
+    assert rows(graph, APART + " RETURN p, count(DISTINCT s) AS n, count(DISTINCT c) AS m") == [(p, distinct(1, p), distinct(2, p)) for p in ids]
+    assert rows(graph, APART + " RETURN p.name AS name, min(s.name) AS low, max(p.name) AS own, count(DISTINCT c) AS m") == sorted((f"name {p}", f"name {min(r[1] for r in PRODUCT if r[0] == p)}", f"name {p}", distinct(2, p)) for p in ids)
+    some = lambda r: r[1] != "s1" and bool(of(r[2], "CONTAINS", "f"))
+    assert rows(graph, APART + ' WHERE s.name <> "name s1" AND (c)-[:CONTAINS]->(:Function) RETURN p, count(DISTINCT s) AS n') == [(p, n) for p in ids if (n := distinct(1, p, some))]
+    either = lambda r: r[1] == "s1" or r[2] == "c1"
+    assert rows(graph, APART + ' WHERE s.name = "name s1" OR c.name = "name c1" RETURN p, count(DISTINCT s) AS n, count(DISTINCT c) AS m') == [(p, n, distinct(2, p, either)) for p in ids if (n := distinct(1, p, either))]
+    assert rows(graph, APART + ", (c)-[:CONTAINS]->(f:Function) RETURN count(DISTINCT f) AS n, count(DISTINCT s) AS m") == [(len({f for _, _, c in PRODUCT for f in of(c, "CONTAINS", "f")}), len({s for _, s, c in PRODUCT if of(c, "CONTAINS", "f")}))]
+
+
+def test_distinct_aggregates_need_no_product(graph):
+    bound = Planner(graph, parse(APART + " RETURN p, count(DISTINCT s) AS n, count(DISTINCT c) AS m")).bindings()
+    assert bound.count() == len({r[:2] for r in PRODUCT}) + len({(r[0], r[2]) for r in PRODUCT}) < len(PRODUCT)
