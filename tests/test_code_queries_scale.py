@@ -37,6 +37,12 @@ def test_packed_tables_look_as_large_as_they_are(spark):
     assert size(packed) >= real > size(cut(rows)) and packed.columns == rows.columns and packed.count() == 20_000
 
 
-@pytest.mark.parametrize("name, most", [("ch_edges", 0), ("em_skip_unchanged", 0), ("fw_providers", 0), ("fw_prefixes", 0), ("fw_relations", 0), ("fw_fastapi", 1), ("ex_contains", 1), ("rs_stats", 0)])
+@pytest.mark.parametrize("name, most", [("ch_edges", 0), ("em_skip_unchanged", 0), ("fw_providers", 0), ("fw_prefixes", 0), ("fw_relations", 0), ("fw_fastapi", 1), ("ex_contains", 1), ("rs_stats", 0), ("fw_express", 1)])
 def test_files_are_read_once(spark, name, most):
     assert readers(QUERIES[name](spark, SF)) <= most
+
+
+@pytest.mark.parametrize("name", ["lp_rust"])
+def test_symbols_come_from_many_parts(spark, monkeypatch, name):
+    monkeypatch.setattr(code_queries, "FILES_A_PART", 50, raising=False)
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == 6  # of 150 customers with two files
