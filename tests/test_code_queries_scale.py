@@ -42,7 +42,7 @@ def test_files_are_read_once(spark, name, most):
     assert readers(QUERIES[name](spark, SF)) <= most
 
 
-@pytest.mark.parametrize("name", ["lp_rust", "lp_php", "lp_javascript", "lp_go", "lp_typescript", "lp_python"])
+@pytest.mark.parametrize("name", ["lp_rust", "lp_php", "lp_javascript", "lp_go", "lp_typescript", "lp_python", "lp_cpp"])
 def test_symbols_come_from_many_parts(spark, monkeypatch, name):
     monkeypatch.setattr(code_queries, "FILES_A_PART", 50, raising=False)
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() == 6  # of 150 customers with two files
